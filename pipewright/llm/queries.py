@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import chat_format, collision_ann, compression_rules, jaccard_join, language_id, lattice_lm, mixing, packing, secrets, url_filter
 
-MODULES = [jaccard_join]
+MODULES = [language_id, secrets, mixing, chat_format, lattice_lm, compression_rules, collision_ann, packing, url_filter, jaccard_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
