@@ -47,8 +47,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("most").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, row) of every row; ``row`` holds the whole input row.
+def mix(docs: DataFrame, seed: int = SEED, carry: bool = True, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, row) of every row; ``row`` holds the whole input row if ``carry``.
 
     size is the number of words of the text (null: 0); copies is how often the mix takes the row. Sources
     without words have target 0 and copies 0. Rows of one source and size are dealt by id; repeated rows are
@@ -58,10 +58,8 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     words = F.expr("regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+')").cast("long")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.col("text").cast("string").alias("text"))
     rows = rows.select("row", "doc_id", "source", F.coalesce(words, F.lit(0)).alias("size"), F.coalesce(F.pmod(F.col("doc_id"), F.lit(PARTS)), F.lit(-1)).alias("part"))
-    return _mixed(rows, scratch, seed, options)
-
-
-def _mixed(rows: DataFrame, scratch: Scratch, seed: int, options: dict) -> DataFrame:
+    if not carry:
+        rows = scratch.keep("sized", rows.drop("row"))
     offset = random.Random(seed).random()
     counts = scratch.keep("counts", rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")))
     by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -85,7 +83,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry=False)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
