@@ -10,6 +10,8 @@ best individual are final; pieces of its other bins move on to fewer islands, an
 from __future__ import annotations
 
 import random
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +28,9 @@ LENGTH = 2048
 ISLAND = 4096  # pieces per island, about
 POPULATIONS, SIZE, GENERATIONS, MIGRATE = 2, 3, 6, 2
 FULL = 0.99  # filling from which a bin is final
+_PUNCTUATION = string.punctuation
 END = b"\0\0\0\0"  # id 0 after each document
-_CACHE = 300_000  # words whose ids a worker keeps
+_CACHE = 600_000  # words whose ids a worker keeps
 
 
 def _tokenizer(path: str):
@@ -39,28 +42,60 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the letter that stands for it in a byte-level vocabulary: printable bytes themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Known(dict):
+    """A dict that makes a missing value from its key."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
-    """Ids of texts, through a bounded table of words' ids.
+    """Ids of texts, through bounded tables of words' and parts' ids.
 
-    White space ends tokens in a vocabulary that drops it, so a text's ids are those of its words in turn.
+    White space ends tokens in a vocabulary that drops it, so a text's ids are those of its words in turn. A new word
+    that is Latin-1 letters, with ASCII punctuation behind, is one or two parts for the merges; any other goes
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.words, self.parts = _Known(self._word), _Known(self._part)
+
+    def _part(self, part: str) -> bytes:
+        text = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.merges(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "surrogatepass")
+        core = text.rstrip(_PUNCTUATION)
+        if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+            ids = self.parts[core.lower()]
+            return ids + self.parts[text[len(core) :]] if len(core) < len(text) else ids
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, ended by id 0."""
-        if len(self.known) > _CACHE:
-            self.known = {}
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*words) - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) + END for w in words]
+        if len(self.words) > _CACHE:
+            self.words = _Known(self._word)
+        if len(self.parts) > _CACHE:
+            self.parts = _Known(self._part)
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.encode("utf-8", "surrogatepass").split())) + END for t in texts]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
