@@ -8,14 +8,20 @@ with one set are one class, kept once. The join over classes has four steps.
    (by magnitude of their count, then hash). The order decides speed only.
 2. Matrix. Two sets with Jaccard >= t share a shingle among the first
    n - ceil(t * n) + 1 of each, in any one global order, so the token -> class matrix holds only
-   these; tokens of a single class are dropped by a pre-aggregated min/max.
-3. Groups. Each class is compared with the smallest class of the tokens it shares
-   most of; the links found make stars, whose components, cut into parts of at most
-   ``GROUP`` members by hash, are the groups. Each group stores its token union.
+   these; tokens of a single class are dropped by a pre-aggregated min/max, and of tokens
+   with one and the same list of classes the first in the order is kept.
+3. Groups. Every token has ``LEADERS`` classes: the one with the smallest part of unshared tokens,
+   and the smallest by several hashes; a class is compared with the leaders that it shares most
+   tokens with. The links found make stars, whose
+   components, cut into parts of about ``GROUP`` members by hash, are the groups. Each group
+   stores its token union.
 4. Search. A class and a group of another component that share a matrix token meet
-   once; the group is opened only if the class's overlap with the union reaches
+   once, unless their counts of unshared tokens or the token's places already exclude a link; the group is opened only if the class's overlap with the union reaches
    ceil(t * n). One link per opened group suffices, as its members are connected already.
 
+Both searches first bound the overlap by bitmaps of two to four bits a shingle; only classes of
+pairs that pass have their whole sets read from the documents again and compared.
+
 Links are exact for the given threshold. Components of all links follow from
 alternating star contraction over written edge tables. No step collects links, and
 every grouping is a pre-aggregated min, max, count or a join that Spark may split.
@@ -36,9 +42,10 @@ from .wordhash import Words, chunks, mix, row_sets, windows
 
 WIDTH = 5
 PERCENT = 80
-HEAVY = 1 << 16  # frequent shingles that go last: 512 KiB, whatever the input's size
-GROUP = 64
-_COUNT_CHUNK = 8 << 20  # bytes of text within which recurrence is noticed
+HEAVY = 1 << 17  # frequent shingles that go last: 1 MiB, whatever the input's size
+GROUP = 256
+LEADERS = 4
+_COUNTED = 4 << 20  # shingles within which recurrence is noticed
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,35 +69,62 @@ def _need(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """A bitmap of the tokens' low bits, with 2 to 4 bits a token."""
+    size = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """The bitmap as it would be with ``size`` bytes, at most its own."""
+    return np.bitwise_or.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
+
+
+def _missing(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of a's tokens that b lacks."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, size) & ~_folded(b, size)).sum())
+
+
 def _signatures(width: int):
-    """Rows (doc_id, n, cls) of documents, and rows (token, df) of shingles seen in several sets of one chunk."""
+    """Rows (doc_id, n, cls, sketch) of documents, and rows (token, df) of shingles seen in several sets of one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            token, df = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            token, df = token[df > 1], df[df > 1]
+            n = len(token)
+            return rows(pa.nulls(n, pa.int64()), df, token, False, [None] * n)
+
+        def rows(doc_id, n, cls, is_doc, sketch) -> pa.RecordBatch:
+            columns = [doc_id, pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(np.full(len(cls), is_doc)), pa.array(sketch, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "is_doc", "sketch"])
+
         for batch in batches:
-            for part in chunks(batch, size=_COUNT_CHUNK):
+            for part in chunks(batch):
                 flat, first = _sets(part, width)
                 cls = _classes(flat, first)
-                _, one = np.unique(cls, return_index=True)
-                chosen = np.zeros(len(cls), bool)
-                chosen[one] = True
-                token, df = np.unique(flat[np.repeat(chosen, np.diff(first))], return_counts=True)
-                token, df = token[df > 1], df[df > 1]
-                a, b = part.num_rows, len(token)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([part.column("doc_id").cast(pa.int64()), pa.nulls(b, pa.int64())]),
-                        pa.array(np.concatenate([np.diff(first), df]).astype(np.int64)),
-                        pa.array(np.concatenate([cls, token]).view(np.int64)),
-                        pa.array(np.arange(a + b) < a),
-                    ],
-                    names=["doc_id", "n", "cls", "is_doc"],
-                )
+                own = [flat[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                for c, x in zip(cls.tolist(), own, strict=True):
+                    if c not in held:
+                        held[c] = x
+                        size += len(x)
+                yield rows(part.column("doc_id").cast(pa.int64()), np.diff(first), cls, True, [_sketch(x) if len(x) else None for x in own])
+                if size >= _COUNTED:
+                    yield counted()
+                    held, size = {}, 0
+        yield counted()
 
     return run
 
 
 def _matrix(width: int, percent: int, heavy: np.ndarray, level: np.ndarray):
-    """(token, cls, n) for the first tokens of every set in the global order."""
+    """(token, cls, at) for the first tokens of every set in the global order; ``at`` is 64 * place + level."""
     bits = np.uint64((1 << 20) - 1)
     maybe = np.zeros(1 << 20, bool)
     maybe[(heavy & bits).astype(np.int64)] = True
@@ -117,17 +151,19 @@ def _matrix(width: int, percent: int, heavy: np.ndarray, level: np.ndarray):
                 lacking = wanted - np.bincount(row[take], minlength=len(n))
                 for r in np.flatnonzero(lacking > 0).tolist():
                     own = first[r] + np.flatnonzero(~light[first[r] : first[r + 1]])
-                    take[own[np.lexsort((flat[own], rank[own]))[: lacking[r]]]] = True
+                    own = own[np.lexsort((flat[own], rank[own]))[: lacking[r]]]
+                    take[own] = True
+                    place[own] = wanted[r] - lacking[r] + np.arange(len(own))
                 at = np.flatnonzero(take)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[at].view(np.int64)), pa.array(cls[row[at]].view(np.int64)), pa.array(n[row[at]].astype(np.int32))], names=["token", "cls", "n"]
+                    [pa.array(flat[at].view(np.int64)), pa.array(cls[row[at]].view(np.int64)), pa.array((place[at] << 6) + rank[at])], names=["token", "cls", "at"]
                 )
 
     return run
 
 
 def _full_sets(width: int):
-    """(cls, n, tokens) of the documents whose class is asked for."""
+    """(cls, tokens) of the documents whose class is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +172,8 @@ def _full_sets(width: int):
                 cls = _classes(flat, first).view(np.int64)
                 rows = np.flatnonzero(cls == part.column("want").to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls[rows]), pa.array(np.diff(first)[rows].astype(np.int32)), pa.array([flat[first[r] : first[r + 1]].tobytes() for r in rows.tolist()], pa.binary())],
-                    names=["cls", "n", "tokens"],
+                    [pa.array(cls[rows]), pa.array([flat[first[r] : first[r + 1]].tobytes() for r in rows.tolist()], pa.binary())],
+                    names=["cls", "tokens"],
                 )
 
     return run
@@ -157,40 +193,65 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def _verify(percent: int):
+def _likely(percent: int):
+    """The pairs (a, b) of classes whose bitmaps admit a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist(), strict=True)]
+            ok = [
+                100 * min(m, n) >= percent * max(m, n) and _missing(x, y) <= m - _need(m, percent) and _missing(y, x) <= n - _need(n, percent)
+                for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _union(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """One row per group: its members' sets and, for several members, the union of their tokens."""
-    sets = group.column("tokens").to_pylist()
-    union = np.unique(np.frombuffer(b"".join(sets), np.uint64)).tobytes() if len(sets) > 1 else None
-    return pa.table(
-        {"part": [key[0].as_py()], "union": pa.array([union], pa.binary()), "members": pa.array([group.column("cls").to_pylist()], pa.list_(pa.int64())), "sets": pa.array([sets], pa.list_(pa.binary()))}
-    )
+def _group_sketch(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """The bitmap of a group's token union, at the size of its smallest member's."""
+    own = group.column("sketch").to_pylist()
+    size = min(map(len, own))
+    return pa.table({"part": [key[0].as_py()], "union": [np.bitwise_or.reduce([_folded(x, size) for x in own]).tobytes()]})
 
 
-def _open(percent: int):
-    """Bound each class's overlap with a group's union; open the groups that qualify and return their first link."""
+def _qualify(percent: int):
+    """The pairs (q, part) whose bitmaps admit the overlap that a link needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for q, tokens, union, members, sets in zip(*(batch.column(c).to_pylist() for c in ("q", "q_set", "union", "members", "sets")), strict=True):
-                own = np.frombuffer(tokens, np.uint64)
-                if union is not None and _overlap(own, np.frombuffer(union, np.uint64)) < _need(len(own), percent):
-                    continue
-                for cls, other in zip(members, sets, strict=True):
-                    if 100 * min(len(other), len(tokens)) >= percent * max(len(other), len(tokens)) and _linked(own, np.frombuffer(other, np.uint64), percent):
-                        a.append(q)
-                        b.append(cls)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            ok = [_missing(x, y) <= n - _need(n, percent) for n, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "sketch", "union")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("part")], names=["q", "part"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("a_tokens").to_pylist(), batch.column("b_tokens").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _open(percent: int):
+    """Bound each class's overlap with its group's union; open the group if it qualifies and return the first link."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        members = right.column("cls").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in right.column("tokens").to_pylist()]
+        union = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        for q, tokens in zip(left.column("q").to_pylist(), left.column("q_set").to_pylist(), strict=True):
+            own = np.frombuffer(tokens, np.uint64)
+            if _overlap(own, union) < _need(len(own), percent):
+                continue
+            for cls, other in zip(members, sets, strict=True):
+                if 100 * min(len(other), len(own)) >= percent * max(len(other), len(own)) and _linked(own, other, percent):
+                    a.append(q)
+                    b.append(cls)
+                    break
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -207,60 +268,89 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = scratch.keep("signatures", rows.mapInArrow(_signatures(width), "doc_id long, n long, cls long, is_doc boolean"))
+    seen = scratch.keep("signatures", rows.mapInArrow(_signatures(width), "doc_id long, n long, cls long, is_doc boolean, sketch binary"))
     sig = seen.where("is_doc").drop("is_doc")
-    top = seen.where("not is_doc").groupBy("cls").agg(F.sum("n").alias("df")).where("df >= 8").orderBy(F.desc("df"), "cls").limit(heavy).collect()
+    top = seen.where("not is_doc").groupBy("cls").agg(F.sum("n").alias("df")).where("df >= 4").orderBy(F.desc("df"), "cls").limit(heavy).collect()
     token = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(token)
     level = np.log2(np.array([r[1] for r in top], float).clip(2)).astype(np.int64) if top else np.zeros(0, np.int64)
 
-    entries = scratch.keep("entries", rows.mapInArrow(_matrix(width, percent, token[order], level[order]), "token long, cls long, n int"))
-    shared = entries.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("token", "least")
-    matrix = scratch.keep("matrix", entries.join(shared, "token").distinct())
-    scratch.drop("entries")
-
-    classes = sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    need = matrix.select("cls").distinct().join(classes, "cls").select("doc_id", F.col("cls").alias("want"))
-    sets = scratch.keep("sets", rows.join(need, "doc_id").select("text", "want").mapInArrow(_full_sets(width), "cls long, n int, tokens binary").dropDuplicates(["cls"]))
+    classes = scratch.keep("classes", sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    sig = sig.drop("sketch")
 
-    # stars: each class against the smallest class of most of its shared tokens
-    tally = matrix.where("cls <> least").groupBy("cls", "n", F.col("least").alias("to")).agg(F.count("*").alias("same"))
-    tally = tally.where(f"3 * same >= n - ({percent} * n + 99) div 100 + 1")
-    stars = tally.groupBy("cls").agg(F.max(F.struct("same", "to")).alias("best")).select(F.col("cls").alias("a"), F.col("best.to").alias("b"))
-    links = scratch.keep("stars", _with_sets(stars, sets).mapInArrow(_verify(percent), "a long, b long"))
+    entries = scratch.keep("entries", rows.mapInArrow(_matrix(width, percent, token[order], level[order]), "token long, cls long, at long"))
+    lists = entries.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("mark"), F.min(F.col("at") % 64).alias("level")).where("least < most")
+    lists = lists.groupBy("least", "most", "size", "mark").agg(F.min(F.struct("level", F.col("token").bitwiseXOR(F.lit(-(2**63))), "token"))["token"].alias("token"), F.count("*").alias("times"))
+    listed = scratch.keep("listed", entries.join(lists, "token").distinct())
+    scratch.drop("entries")
+    # u: tokens among the first ones that no other class has
+    first = f"n - ({percent} * n + 99) div 100 + 1"
+    shared = listed.groupBy("cls").agg(F.sum("times").alias("times")).join(classes, "cls").select("cls", "n", F.expr(f"{first} - times").alias("u"))
+    matrix = scratch.keep("matrix", listed.select("token", "cls", F.floor(F.col("at") / 64).alias("place")).join(shared, "cls"))
+    scratch.drop("listed")
+
+    def sets_of(name: str, wanted: DataFrame) -> DataFrame:
+        """(cls, tokens) of the wanted classes, from one document of each."""
+        need = wanted.distinct().join(classes, "cls").select("doc_id", F.col("cls").alias("want"))
+        return scratch.keep(name, rows.join(need, "doc_id").select("text", "want").mapInArrow(_full_sets(width), "cls long, tokens binary").dropDuplicates(["cls"]))
+
+    # stars: each class against the leaders of most of its shared tokens
+    leaders = [F.min_by("cls", F.struct(F.col("u") / F.col("n"), "cls")), *(F.min_by("cls", F.xxhash64("cls", F.lit(i))) for i in range(1, LEADERS))]
+    led = matrix.groupBy("token").agg(F.array(*leaders).alias("leaders"))
+    tally = matrix.join(led, "token").select("cls", F.posexplode("leaders").alias("i", "to")).where("cls <> to").groupBy("cls", "i", "to").agg(F.count("*").alias("same"))
+    best = tally.groupBy("cls", "i").agg(F.max(F.struct("same", "to")).alias("best")).select(F.col("cls").alias("a"), F.col("best.to").alias("b")).distinct()
+    stars = scratch.keep("likely", _both(best, classes, "n", "sketch").mapInArrow(_likely(percent), "a long, b long"))
+    sets = sets_of("star-sets", stars.select(F.explode(F.array("a", "b")).alias("cls")))
+    links = scratch.keep("stars", _both(stars, sets, "tokens").mapInArrow(_verify(percent), "a long, b long"))
+    scratch.drop("star-sets")
     stars_of = scratch.keep("star-components", components(links, scratch, "star-rounds"))
 
     # groups of at most about GROUP members, each within one component
     sizes = stars_of.groupBy("component").agg(F.count("*").alias("size"))
-    parts = stars_of.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("home"), F.xxhash64("component", F.when(F.col("size") > GROUP, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))).otherwise(0)).alias("part"))
-    own = matrix.join(parts, "cls", "left").select("token", "cls", "n", F.coalesce("home", "cls").alias("home"), F.coalesce("part", "cls").alias("part"))
+    parts = stars_of.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("home"), "size", F.xxhash64("component", F.when(F.col("size") > GROUP, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))).otherwise(0)).alias("part"))
+    own = matrix.join(parts, "cls", "left").select("token", "cls", "place", "n", "u", F.coalesce("home", "cls").alias("home"), F.coalesce("part", "cls").alias("part"), F.coalesce("size", F.lit(1)).alias("size"))
     mixed = own.groupBy("token").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("token")
     own = scratch.keep("mixed", own.join(mixed, "token"))
     scratch.drop("matrix")
 
-    groups = own.groupBy("token", "home", "part").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n")).withColumnRenamed("home", "other")
-    meet = own.select("token", F.col("cls").alias("q"), "n", "home").join(groups, "token")
-    meet = meet.where(f"home < other and 100 * most_n >= {percent} * n and 100 * n >= {percent} * least_n")
-    pairs = meet.select("q", "part").distinct()
-    members = own.select("cls", "part").distinct()
-    unions = members.join(sets, "cls").select("part", "cls", "tokens").groupBy("part").applyInArrow(_union, "part long, union binary, members array<long>, sets array<binary>")
-    asked = pairs.join(sets.select(F.col("cls").alias("q"), F.col("tokens").alias("q_set")), "q").join(unions, "part")
-    found = scratch.keep("links", asked.mapInArrow(_open(percent), "a long, b long"))
+    # classes of the smaller component search the groups of the larger one;
+    # a class and a group's member share at most n - u tokens of either, their union holds the other's u as well, and
+    # no more tokens than follow their first common one, which is the first of its list, can be common
+    groups = own.groupBy("token", "home", "part", "size").agg(F.min("n").alias("least_n"), F.min("u").alias("least_u"), F.max(F.expr("n - u")).alias("most"), F.max(F.expr("n - place")).alias("left")).withColumnsRenamed({"home": "other", "size": "other_size"})
+    meet = own.select("token", F.col("cls").alias("q"), "place", "n", "u", "home", "size").join(groups, "token")
+    meet = meet.where(f"(size, home) < (other_size, other) and 100 * least(n - u, most) >= {percent} * greatest(n + least_u, least_n + u) and {100 + percent} * least(n - place, left) >= {percent} * (n + least_n)")
+    members = scratch.keep("members", own.select("cls", "part").distinct())
+    pairs = scratch.keep("pairs", meet.select("q", "part").distinct())
     scratch.drop("mixed")
+    unions = members.join(pairs.select("part").distinct(), "part").join(classes, "cls").select("part", "sketch").groupBy("part").applyInArrow(_group_sketch, "part long, union binary")
+    asked = pairs.join(classes.select(F.col("cls").alias("q"), "n", "sketch"), "q").join(unions, "part")
+    asked = scratch.keep("asked", asked.mapInArrow(_qualify(percent), "q long, part long"))
+    members = scratch.keep("asked-members", members.join(asked.select("part").distinct(), "part"))
+    sets = sets_of("sets", members.select("cls").union(asked.select("q")))
+    # a task holds one group and about GROUP of the classes that ask for it
+    dealt = asked.join(asked.groupBy("part").agg(F.count("*").alias("asking")), "part")
+    dealt = dealt.select("part", "q", F.pmod(F.xxhash64("q"), F.ceil(F.col("asking") / GROUP)).alias("salt"))
+    dealt = scratch.keep("dealt", dealt)
+    left = dealt.join(sets.select(F.col("cls").alias("q"), F.col("tokens").alias("q_set")), "q")
+    spots = dealt.select(F.col("part").alias("to_part"), F.col("salt").alias("to_salt")).distinct()
+    right = spots.join(members, F.col("part") == F.col("to_part")).join(sets, "cls").select("to_part", "to_salt", "cls", "tokens")
+    found = left.groupBy("part", "salt").cogroup(right.groupBy("to_part", "to_salt")).applyInArrow(_open(percent), "a long, b long")
+    found = scratch.keep("links", found)
+    scratch.drop("sets")
 
     whole = scratch.keep("components", components(links.union(found), scratch, "rounds"))
     named = classes.join(whole.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "component").select("cls", "component_id")
-    scratch.drop("sets")
     out = sig.join(labels, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
 
 
-def _with_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("a_set"))
-    b = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("b_set"))
-    return edges.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set")
+def _both(edges: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    """The edges (a, b) with the columns of either class."""
+    for end in ("a", "b"):
+        edges = edges.join(of.select(F.col("cls").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
+    return edges
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ class Scratch:
         """Write ``df`` and return the written table."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the finished job
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
