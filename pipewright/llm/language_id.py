@@ -31,7 +31,7 @@ SYMBOLS = 20_000  # labelled symbols per language: the bound on what the automat
 DOCUMENTS = 64  # labelled documents per language that reach the driver, smallest hashes first
 LETTERS = 60  # most frequent letters with a symbol of their own
 BLOCK = 512
-REJECT = 0.75  # of the phrases per symbol of unrelated text
+REJECT, SHORT = 0.9, 2.0  # rejected from REJECT + SHORT / sqrt(symbols) times the phrases of random letters
 
 
 def _symbols(text: str, code: np.ndarray) -> np.ndarray:
@@ -169,7 +169,8 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or nothing was learned. score is 0 to 1:
     by which part of the second-best language's phrases the best needs fewer.
-    known is false for ``und`` and for text that no learned language fits better than random letters.
+    known is false for ``und`` and for text that no learned language fits clearly better than random letters;
+    short texts have to be worse, as their counts vary more.
     Ties go to the language that sorts first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -193,7 +194,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                     some[:] = False
                     best, least, score = np.zeros(len(some), int), np.zeros(len(some)), np.zeros(len(some))
                 pred = [m.langs[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist(), strict=True)]
-                known = some & (least < REJECT * m.alien)
+                known = some & (least < m.alien * (REJECT + SHORT / np.sqrt(np.maximum(np.diff(bounds), 1))))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(known)], names=[*keep, "lang_pred", "score", "known"])
 
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
