@@ -36,16 +36,21 @@ def _median(c: Column, v: Val) -> Val:
 
 
 
-def _extent(c: Column, v: Val) -> Val:
-    box = G.box_(c)
-    return Val(G.rectangle_(F.min(box[0]), F.min(box[1]), F.max(box[2]), F.max(box[3])), "multipolygon")
-
-
-def _union(c: Column, v: Val) -> Val:
+def spatial(name: str, c: Column, v: Val, over=lambda x: x) -> Val:
+    """extent or spatial_union; ``over`` puts the underlying built-in aggregates over a window.
+
+    A union gathers a group's distinct geometries, as its result is of their size.
+    """
+    if name == "extent":
+        box = G.box_(c)
+        return Val(G.rectangle_(over(F.min(box[0])), over(F.min(box[1])), over(F.max(box[2])), over(F.max(box[3]))), "multipolygon")
+    own = over(F.collect_set(c))
     if v.type in ("point", "multipoint"):
-        return Val(G.union_points_agg(c), "multipoint")
+        return Val(G.union_points_all(own), "multipoint")
     if v.type in ("line", "multiline"):
-        return Val(G.union_lines_agg(c), "multiline")
+        return Val(G.union_lines_all(own), "multiline")
+    if v.type in ("polygon", "multipolygon"):
+        return Val(G.union_polygons_all(own), "multipolygon")
     raise QueryError(f"spatial_union of {v.type} is not supported")
 
 
@@ -57,8 +62,8 @@ ONE = {
     "median": _median,
     "stddev_pop": _numeric(F.stddev_pop),
     "stddev_samp": _numeric(F.stddev_samp),
-    "extent": _extent,
-    "spatial_union": _union,
+    "extent": lambda c, v: spatial("extent", c, v),
+    "spatial_union": lambda c, v: spatial("spatial_union", c, v),
 }
 ONE["median_disc"] = lambda c, v: Val(_text_median(c), v.type)
 TWO = {"regr_intercept": F.regr_intercept, "regr_slope": F.regr_slope, "regr_r2": F.regr_r2}

@@ -371,6 +371,30 @@ def visible_at(g: Val, n: Val) -> Val:
     return _bool(~F.coalesce(G.is_empty_(v.col), F.lit(True)) & big)
 
 
+@define("#spatial_union")
+def spatial_union(a: Val, b: Val) -> Val:
+    x, y = _geo(a), _geo(b)
+    for fn, kind in ((G.union_points_, "point"), (G.union_lines_, "line"), (G.union_polygons_, "polygon")):
+        if {x.type, y.type} <= {kind, f"multi{kind}"}:
+            return Val(fn(x.col, y.col), f"multi{kind}")
+    raise QueryError(f"spatial_union of {x.type} with {y.type}")
+
+
+@define("make_valid")
+def make_valid(g: Val) -> Val:
+    v = _geo(g)
+    return Val(G.make_valid_(v.col), "multipolygon" if v.type == "polygon" else v.type)
+
+
+@define("curated_region_test")
+def curated_region_test(g: Val, n: Val) -> Val:
+    """Why a geometry cannot serve as a region: 'empty' for null, and null for one that can."""
+    v = _geo(g)
+    x0, y0, x1, y1 = _box(v)
+    out = F.when(v.col.isNull(), "empty").when(G.num_points(v.col) > n.col.cast("double"), "too complex")
+    return Val(out.when((x0 < -180) | (x1 > 180) | (y0 < -90) | (y1 > 90), "out of bounds").otherwise(G.invalid_(v.col)), "text")
+
+
 @define("human_address")
 def human_address(*parts: Val) -> Val:
     cols = [_text(p) for p in parts]
@@ -402,6 +426,7 @@ REGISTRY |= {
     "reduce_precision": lambda g, s: Val(G.snap_(_geo(g).col, s.col.cast("double")), _geo(g).type),
     "area": lambda g: Val(G.area_(_geo(g).col), "double"),
     "distance_in_meters": lambda a, b: Val(G.distance_(_geo(a).col, _geo(b).col), "double"),
+    "intersection": lambda a, b: Val(G.intersection_(_geo(a).col, _geo(b).col), "multipolygon"),
     "convex_hull": lambda g: Val(G.convex_hull_(_geo(g).col), "multipolygon"),
     "location": _location,
     "location_latitude": lambda l: Val(G.native_xy(l.col["point"])[1], "double"),

@@ -108,6 +108,17 @@ class Pipe:
     right: Select
 
 
+@dataclass(frozen=True)
+class With:
+    of: tuple  # (name, query) in order; each may name those before it
+    body: object
+
+
+@dataclass(frozen=True)
+class Values:
+    rows: tuple[tuple, ...]
+
+
 @dataclass
 class Names:
     taken: set = field(default_factory=set)

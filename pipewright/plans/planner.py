@@ -16,7 +16,7 @@ from ..functions import aggregate as A
 from ..functions import scalar as S
 from ..functions import search
 from ..functions.values import Val, cast, literal, need, type_of
-from .ast import Call, Cast, Field, Item, Lit, Over, Pipe, Ref, Select, SetOp, Sort, Source, Star, name_of
+from .ast import Call, Cast, Field, Item, Lit, Over, Pipe, Ref, Select, SetOp, Sort, Source, Star, Values, With, name_of
 from .lexer import QueryError
 from .parser import parse
 
@@ -187,6 +187,8 @@ class Env:
             if args[0].type == "text" or e.name == "median_disc":
                 return Val(F.when(n > 0, low), args[0].type)
             return Val(F.when(n > 0, (low.cast("double") + F.element_at(own, (F.floor(n / 2) + 1).cast("int")).cast("double")) / 2), "double")
+        if e.name in ("extent", "spatial_union"):
+            return A.spatial(e.name, A._kept(args[0].col, where), args[0], lambda c: c.over(w))
         v = A.aggregate(e.name, args, star, e.distinct, where)
         return Val(v.col.over(w), v.type)
 
@@ -230,6 +232,7 @@ def searchable(columns: list[tuple[Val, str]], query: str) -> Column:
 class Planner:
     def __init__(self, ctx: Context):
         self.ctx = ctx
+        self.named: dict[str, Relation] = {}  # common table expressions in scope
 
     def query(self, q, current: Relation | None = None, outer: Env | None = None) -> Relation:
         match q:
@@ -242,8 +245,27 @@ class Planner:
                 return self.select(right, made.named(None), outer)
             case SetOp(kind, left, right):
                 return self.set_op(kind, self.query(left, current, outer), self.query(right, current, outer))
+            case With(of, body):
+                before = self.named
+                for name, part in of:
+                    self.named = self.named | {name: self.query(part, current, outer)}
+                made, self.named = self.query(body, current, outer), before
+                return made
+            case Values(rows):
+                return self.values(rows)
         raise QueryError(f"unexpected {q!r}")
 
+    def values(self, rows: tuple) -> Relation:
+        """Literal rows under the names column_1, column_2, ...; a column has the type of its first value that is not null."""
+        env, one = Env(self.ctx, []), self.ctx.spark.range(1)
+        vals = [[env.eval(e) for e in row] for row in rows]
+        if len({len(row) for row in vals}) != 1:
+            raise QueryError("rows of values differ in length")
+        kinds = [next((v.type for v in column if not (v.literal and v.lit is None)), "text") for column in zip(*vals, strict=True)]
+        columns = [Output(None, f"column_{i + 1}", f"c{next(_ids)}", k) for i, k in enumerate(kinds)]
+        made = F.array(*(F.struct(*(cast(v, c.type).col.alias(c.physical) for v, c in zip(row, columns, strict=True))) for row in vals))
+        return Relation(one.select(F.inline(made)), columns)
+
     def set_op(self, kind: str, a: Relation, b: Relation) -> Relation:
         if len(a.columns) != len(b.columns):
             raise QueryError("set operations need the same number of columns")
@@ -266,6 +288,10 @@ class Planner:
             return current.named(s.alias)
         if s.of == "single_row":
             return Relation(self.ctx.spark.range(1).select(), [])
+        if s.of in self.named:  # fresh column names, so that one expression may be joined with itself
+            rel = self.named[s.of]
+            columns = [replace(c, table=s.alias or s.of, physical=f"c{next(_ids)}") for c in rel.columns]
+            return Relation(rel.df.select(*(F.col(a.physical).alias(b.physical) for a, b in zip(rel.columns, columns, strict=True))), columns)
         return relation(self.ctx.tables(s.of), s.alias or s.of)
 
     def select(self, q: Select, current: Relation | None, outer: Env | None) -> Relation:
@@ -398,6 +424,8 @@ def uncounted(q):
     match q:
         case Pipe(left, right):
             return Pipe(left, uncounted(right))
+        case With(of, body):
+            return With(of, uncounted(body))
         case Select():
             return replace(q, order=(), limit=None, offset=None)
     return q

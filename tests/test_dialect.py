@@ -64,6 +64,32 @@ def test_geometry_functions(engine):
     assert one(engine, "select within_box('POINT (1 2)'::point, 3, 0, 0, 3) as a, is_empty('POINT EMPTY'::point) as e, convex_hull('MULTIPOINT (0 0, 2 0, 1 1, 1 3)'::multipoint)::text as h limit 1")[0][:] == (True, True, "MULTIPOLYGON (((0 0, 2 0, 1 3, 0 0)))")
 
 
+SQUARES = "values (1, 'POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))'::polygon), (1, 'POLYGON ((1 1, 3 1, 3 3, 1 3, 1 1))'::polygon), (2, null) |> "
+
+
+def test_polygon_overlays(engine):
+    got = {r[0]: r[1:] for r in one(engine, SQUARES + "select column_1, count(*), spatial_union(column_2)::text, extent(column_2)::text group by column_1")}
+    assert got[1] == (2, "MULTIPOLYGON (((0 0, 0 2, 1 2, 1 3, 3 3, 3 1, 2 1, 2 0, 0 0)))", "MULTIPOLYGON (((0 0, 0 3, 3 3, 3 0, 0 0)))")
+    assert got[2][1] is None
+    text = "select extent(column_2) over (partition by column_1)::text as e, spatial_union(column_2) over (partition by column_1)::text as u, intersection(column_2, column_2)::text as i, spatial_union(column_2, column_2)::text as t"
+    rows = one(engine, SQUARES + text + " order by column_1")
+    assert rows[0].e == rows[1].e == got[1][2] and rows[0].u == got[1][1] and rows[2].e is None
+    assert {r.i for r in rows[:2]} == {r.t for r in rows[:2]} == {"MULTIPOLYGON (((0 0, 0 2, 2 2, 2 0, 0 0)))", "MULTIPOLYGON (((1 1, 1 3, 3 3, 3 1, 1 1)))"}
+
+
+def test_curated_region(engine):
+    got = one(engine, SQUARES + "select column_1, curated_region_test(column_2, 10) as a, curated_region_test(column_2, 1) as b, make_valid(column_2)::text as c order by column_1")
+    assert [r.a for r in got] == [None, None, "empty"] and got[0].b == "too complex" and got[2].c is None
+
+
+def test_common_table_expressions_and_values(engine):
+    assert sorted(map(tuple, one(engine, "with @fast as (select make, v_max where v_max > 45), @n as (select count(*) as n from @fast) select a.make, b.make as other, @n.n from @fast as a join @fast as b on a.v_max = b.v_max join @n on true"))) == [("APCO", "APCO", 2), ("OZONE", "OZONE", 2)]
+    assert [tuple(r) for r in one(engine, "values (1, 'a'), (2, null) |> select column_2, column_1 order by column_1 desc")] == [(None, 2), ("a", 1)]
+    assert engine.row_count("with @t as (values (1), (2)) select * from @t limit 1") == 2
+    with pytest.raises(QueryError):
+        engine.query("values (1), (2, 3)")
+
+
 @pytest.mark.parametrize("text,kind", [("POINT (1 2.5)", "point"), ("LINESTRING (0 0, 1 1)", "line"), ("POLYGON ((0 0, 1 0, 1 1, 0 0))", "polygon"), ("MULTIPOINT (1 2, 3 4)", "multipoint"), ("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))", "multipolygon")])
 def test_wkt_round_trip(text, kind):
     got = G.wkt(G.load(G.wkb_of_wkt(text, kind)))
