@@ -16,6 +16,8 @@ from ..plans.lexer import QueryError
 NUMERIC = ("number", "double")
 GEOMETRY = ("point", "multipoint", "line", "multiline", "polygon", "multipolygon")
 DECIMAL = "decimal(38,18)"
+ROW_TAGS = {"row_identifier": "row", "row_version": "rv"}
+SYSTEM_KINDS = {":id": "row_identifier", ":version": "row_version"}
 
 
 @dataclass
@@ -48,6 +50,8 @@ def type_of(field: T.StructField) -> str:
     if "kind" in field.metadata:
         return field.metadata["kind"]
     kind = field.dataType
+    if field.name in SYSTEM_KINDS and isinstance(kind, T.LongType):
+        return SYSTEM_KINDS[field.name]
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return "double"
     if isinstance(kind, T.NumericType):
@@ -149,8 +153,8 @@ def text_of(v: Val) -> Column:
         from .geometry import to_wkt
 
         return to_wkt(v.col)
-    if v.type in ("row_identifier", "row_version"):
-        return F.concat(F.lit("row-" if v.type == "row_identifier" else "rv-"), v.col.cast("string"))
+    if v.type in ROW_TAGS:
+        return F.concat(F.lit(f"{ROW_TAGS[v.type]}-"), v.col.cast("string"))
     return TO_TEXT[v.type](v.col)
 
 

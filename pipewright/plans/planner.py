@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from ..functions import aggregate as A
 from ..functions import scalar as S
 from ..functions import search
-from ..functions.values import Val, cast, literal, need, type_of
+from ..functions.obfuscate import clear, obfuscated
+from ..functions.values import ROW_TAGS, Val, cast, literal, need, type_of
 from .ast import Call, Cast, Field, Item, Lit, Over, Pipe, Ref, Select, SetOp, Sort, Source, Star, Values, With, name_of
 from .lexer import QueryError
 from .parser import parse
@@ -62,6 +63,7 @@ class Context:
     variables: dict[str, str] = field(default_factory=dict)
     now: datetime.datetime = field(default_factory=lambda: datetime.datetime.now(datetime.timezone.utc).replace(microsecond=0))
     case_sensitive: bool = True
+    obfuscation_key: bytes | None = None  # without one, row ids and versions read row-<n> and rv-<n>
 
 
 class Env:
@@ -106,7 +108,10 @@ class Env:
             case Ref():
                 return self.resolve(e)
             case Cast(x, kind):
-                return cast(self.eval(x), kind)
+                v = self.eval(x)
+                if self.ctx.obfuscation_key and kind == "text" and v.type in ROW_TAGS:
+                    return Val(obfuscated(v.col, self.ctx.obfuscation_key, ROW_TAGS[v.type]), "text")
+                return cast(self.row_literal(v, kind), kind)
             case Field(x, name):
                 if isinstance(x, Ref) and x.table is None and self.find(x) is None and x.name not in self.aliases:
                     return self.resolve(Ref(name, x.name))
@@ -115,6 +120,15 @@ class Env:
                 return self.call(e)
         raise QueryError(f"unexpected {e!r}")
 
+    def row_literal(self, v: Val, kind: str) -> Val:
+        """A text literal that stands for a row id or version, as that number."""
+        if not (self.ctx.obfuscation_key and kind in ROW_TAGS and v.text):
+            return v
+        n = clear(v.lit, self.ctx.obfuscation_key, ROW_TAGS[kind])
+        if n is None:
+            raise QueryError(f"{v.lit!r} is no {kind}")
+        return Val(F.lit(n).cast("long"), kind)
+
     def call(self, e: Call) -> Val:
         if e.over is not None:
             return self.windowed(e)
@@ -130,6 +144,8 @@ class Env:
         if fn is None:
             raise QueryError(f"no such function: {e.name}")
         args = [self.eval(a) for a in e.args]
+        if row := next((a.type for a in args if a.type in ROW_TAGS), None):
+            args = [self.row_literal(a, row) for a in args]
         if not self.ctx.case_sensitive and e.name in ("#=", "#<>", "#in", "#not_in", "#like", "#not_like", "#<", "#<=", "#>", "#>="):
             args = [S._upper(a) for a in args]
         try:

@@ -90,6 +90,24 @@ def test_common_table_expressions_and_values(engine):
         engine.query("values (1), (2, 3)")
 
 
+def test_row_ids(spark):
+    """The cipher's published vector, the text form, and ids in queries with and without a key."""
+    import numpy as np
+
+    from pipewright.functions import obfuscate
+
+    assert int(obfuscate.Cipher(bytes(8)).encrypt(np.array([0])).view(np.uint64).byteswap()[0]) == 0x4EF997456198DD78
+    assert obfuscate.shown(0x1234567890ABCDEF) == "rmhh.h4ac-6f4q" and obfuscate.number_of("rmhh.h4ac-6f4q") == 0x1234567890ABCDEF
+    ids = [0, 1, 2**62 + 1, -7, None]
+    engine = Engine(spark, {"t": spark.createDataFrame([(i,) for i in ids], "`:id` long")})
+    found = dict(map(tuple, engine.query("select :id as n, :id::text as t", "t", obfuscation_key=b"key").collect()))
+    assert found[None] is None and {obfuscate.clear(found[i], b"key", "row") for i in ids[:4]} == set(ids[:4])
+    assert [r[0] for r in engine.query(f"select :id as n where :id = '{found[2**62 + 1]}'", "t", obfuscation_key=b"key").collect()] == [2**62 + 1]
+    assert [r[0] for r in engine.query("select :id::text as n where :id in ('row-1', 'row-0') order by :id", "t").collect()] == ["row-0", "row-1"]
+    with pytest.raises(QueryError):
+        engine.query("select :id where :id = 'row-1'", "t", obfuscation_key=b"key")
+
+
 @pytest.mark.parametrize("text,kind", [("POINT (1 2.5)", "point"), ("LINESTRING (0 0, 1 1)", "line"), ("POLYGON ((0 0, 1 0, 1 1, 0 0))", "polygon"), ("MULTIPOINT (1 2, 3 4)", "multipoint"), ("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))", "multipolygon")])
 def test_wkt_round_trip(text, kind):
     got = G.wkt(G.load(G.wkb_of_wkt(text, kind)))
