@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..plans.ast import Call, Item, Pipe, Select, SetOp, Source, Star
+from ..plans.ast import Item, Pipe, Select, SetOp, Source, Star, With
 from ..plans.lexer import QueryError
 from ..plans.parser import parse
-from ..plans.planner import Context, Planner
+from ..plans.planner import Context, Planner, reads_clock
 from ..sources.catalog import Catalog
 
 
@@ -24,6 +24,12 @@ def tables_of(q, primary: str | None) -> set[str]:
             return tables_of(left, primary) | (tables_of(right, None))
         case SetOp(_, left, right):
             return tables_of(left, primary) | tables_of(right, primary)
+        case With(of, body):
+            out, known = set(), set()
+            for name, part in of:
+                out |= tables_of(part, primary) - known
+                known.add(name)
+            return out | tables_of(body, primary) - known
         case Select():
             sources = [q.source, *(j.source for j in q.joins)]
             out = {primary} if q.source is None and primary else set()
@@ -33,21 +39,13 @@ def tables_of(q, primary: str | None) -> set[str]:
     return set()
 
 
-def uses_now(e) -> bool:
-    if isinstance(e, Call) and e.name == "get_utc_date":
-        return True
-    if isinstance(e, tuple):
-        return any(map(uses_now, e))
-    return hasattr(e, "__dataclass_fields__") and any(uses_now(getattr(e, f)) for f in e.__dataclass_fields__)
-
-
 @dataclass
 class Views:
     catalog: Catalog
 
     def create(self, dataset: str, name: str, query: str, materialise: bool = True) -> None:
         tree = parse(query)
-        if uses_now(tree):
+        if reads_clock(tree):
             raise QueryError("a view must not read the clock")
         meta = self.catalog.meta(dataset)
         self.catalog.apply(dataset, meta["version"] + 1, [("view_created", name, query, sorted(tables_of(tree, dataset)))])

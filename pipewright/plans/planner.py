@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import itertools
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -447,6 +450,15 @@ def uncounted(q):
     return q
 
 
+def reads_clock(e) -> bool:
+    """Whether a syntax tree reads the time of the query."""
+    if isinstance(e, Call) and e.name == "get_utc_date":
+        return True
+    if isinstance(e, tuple):
+        return any(map(reads_clock, e))
+    return hasattr(e, "__dataclass_fields__") and any(reads_clock(getattr(e, f)) for f in e.__dataclass_fields__)
+
+
 class Engine:
     """Runs query texts over named tables."""
 
@@ -473,6 +485,44 @@ class Engine:
         ctx = Context(self.spark, self.tables, primary, **(self.options | options))
         return Planner(ctx).query(uncounted(parse(text))).df.count()
 
+    def fingerprint(self, text: str, primary: str | None = None, versions: dict[str, int] | None = None, **options) -> str:
+        """A hash that is equal for queries with equal results: of the syntax tree, output columns, options and data versions.
+
+        The clock counts only for queries that read it.
+        """
+        tree = parse(text)
+        rel = self.plan(text, primary, **options)
+        given = {k: v for k, v in (self.options | options).items() if k != "now" or reads_clock(tree)}
+        if reads_clock(tree) and "now" not in given:
+            given["now"] = Context(self.spark, self.tables).now
+        parts = (repr(tree), [(c.name, c.type) for c in rel.columns], primary, sorted(given.items(), key=lambda kv: kv[0]), sorted((versions or {}).items()))
+        return hashlib.sha256(repr(parts).encode()).hexdigest()
+
+    def collect(self, text: str, primary: str | None = None, seconds: float | None = None, **options) -> list:
+        """The rows of a query; its jobs are cancelled and TimeoutError raised after ``seconds``."""
+        df = self.query(text, primary, **options)
+        if seconds is None:
+            return df.collect()
+        tag, late = f"q-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            self.spark.sparkContext.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(seconds, stop)
+        self.spark.sparkContext.addJobTag(tag)
+        timer.start()
+        try:
+            rows = df.collect()
+        except Exception as x:
+            if late.is_set():
+                raise TimeoutError(f"the query took more than {seconds} s") from x
+            raise
+        finally:
+            timer.cancel()
+            self.spark.sparkContext.removeJobTag(tag)
+        return rows
+
     def explain(self, text: str, primary: str | None = None, mode: str = "formatted") -> str:
         plan = self.query(text, primary)._jdf.queryExecution()
         return plan.explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))

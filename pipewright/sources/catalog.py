@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import type_of
 from ..plans.lexer import QueryError
 
 ID = ":id"
@@ -67,6 +68,21 @@ class Catalog:
     def read(self, name: str, which: str | int | None = None) -> DataFrame:
         return self.spark.read.parquet(self.copy(name, which)["path"])
 
+    def exists(self, name: str) -> bool:
+        path, fs = self._fs(f"{self.root}/{name}/meta.json")
+        return fs.exists(path)
+
+    def schema(self, name: str, which: str | int | None = None) -> dict[str, str]:
+        """Column names and the dialect's types of a copy."""
+        return {f.name: type_of(f) for f in self.read(name, which).schema}
+
+    def views(self, name: str) -> list[str]:
+        """The names of a dataset's materialised views that hold data."""
+        return sorted(k for k, v in self.meta(name)["views"].items() if v["path"])
+
+    def version(self, name: str) -> int:
+        return self.meta(name)["version"]
+
     def table(self, name: str) -> DataFrame:
         """A dataset by name, or a materialised view as ``dataset.view``."""
         dataset, _, view = name.partition(".")

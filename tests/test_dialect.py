@@ -3,8 +3,9 @@
 import pytest
 
 from pipewright.functions import geometry as G
-from pipewright.operators.views import Views
+from pipewright.operators.views import Views, tables_of
 from pipewright.plans.lexer import QueryError
+from pipewright.plans.parser import parse
 from pipewright.plans.planner import Engine
 from pipewright.session import configure
 from pipewright.sources.catalog import Catalog, VersionGap
@@ -108,6 +109,15 @@ def test_row_ids(spark):
         engine.query("select :id where :id = 'row-1'", "t", obfuscation_key=b"key")
 
 
+def test_fingerprint_and_time_limit(engine):
+    same = [engine.fingerprint(t, "wings", {"wings": 1}) for t in ("select make", "SELECT  make")]
+    assert same[0] == same[1] != engine.fingerprint("select make", "wings", {"wings": 2})
+    assert len(engine.collect("select make", "wings", seconds=60)) == 4
+    slow = Engine(engine.spark, {"t": engine.spark.range(1, 1 << 40).withColumnRenamed("id", "n")})
+    with pytest.raises(TimeoutError):
+        slow.collect("select max(n % 7 * n) as m", "t", seconds=1)
+
+
 @pytest.mark.parametrize("text,kind", [("POINT (1 2.5)", "point"), ("LINESTRING (0 0, 1 1)", "line"), ("POLYGON ((0 0, 1 0, 1 1, 0 0))", "polygon"), ("MULTIPOINT (1 2, 3 4)", "multipoint"), ("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))", "multipolygon")])
 def test_wkt_round_trip(text, kind):
     got = G.wkt(G.load(G.wkb_of_wkt(text, kind)))
@@ -130,9 +140,12 @@ def test_change_sets_and_views(spark, tmp_path):
     views.create("wings", "totals", text)
     version = catalog.meta("wings")["version"]
     catalog.apply("wings", version + 1, [("rows_changed", rows((2, "A", 5)), rows((9, "x", 0))), ("column_created", "note", "string")])
-    assert views.substitute(__import__("pipewright.plans.parser", fromlist=["parse"]).parse(text), "wings").source is None  # stale
+    assert views.substitute(parse(text), "wings").source is None  # stale
     assert views.refresh_for("wings") == [("wings", "totals")]
     assert sorted(map(tuple, views.query(text + " |> select * where total > 1", "wings").collect())) == [("A", 15)]
+    assert catalog.exists("wings") and not catalog.exists("other") and catalog.views("wings") == ["totals"]
+    assert catalog.schema("wings") == {":id": "row_identifier", "make": "text", "price": "number", "note": "text"}
+    assert tables_of(parse("with @t as (select * from @other) select * from @t join @wings on true"), "wings") == {"other", "wings"}
     with pytest.raises(VersionGap):
         catalog.apply("wings", 99, [])
     with pytest.raises(QueryError):
