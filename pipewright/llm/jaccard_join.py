@@ -16,7 +16,7 @@ with one set are one class, kept once. The join over classes has four steps.
    components, cut into parts of about ``GROUP`` members by hash, are the groups. Each group
    stores its token union.
 4. Search. A class and a group of another component that share a matrix token meet
-   once, unless their counts of unshared tokens or the token's places already exclude a link; the group is opened only if the class's overlap with the union reaches
+   once, unless the token's places already exclude a link; the group is opened only if the class's overlap with the union reaches
    ceil(t * n). One link per opened group suffices, as its members are connected already.
 
 Both searches first bound the overlap by bitmaps of two to four bits a shingle; only classes of
@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     lists = lists.groupBy("least", "most", "size", "mark").agg(F.min(F.struct("level", F.col("token").bitwiseXOR(F.lit(-(2**63))), "token"))["token"].alias("token"), F.count("*").alias("times"))
     listed = scratch.keep("listed", entries.join(lists, "token").distinct())
     scratch.drop("entries")
-    # u: tokens among the first ones that no other class has
+    # u: tokens among the first ones that no other class has among its own first ones; others may have them later, so u chooses leaders and excludes no link
     first = f"n - ({percent} * n + 99) div 100 + 1"
     shared = listed.groupBy("cls").agg(F.sum("times").alias("times")).join(classes, "cls").select("cls", "n", F.expr(f"{first} - times").alias("u"))
     matrix = scratch.keep("matrix", listed.select("token", "cls", F.floor(F.col("at") / 64).alias("place")).join(shared, "cls"))
@@ -308,17 +308,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     # groups of at most about GROUP members, each within one component
     sizes = stars_of.groupBy("component").agg(F.count("*").alias("size"))
     parts = stars_of.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("home"), "size", F.xxhash64("component", F.when(F.col("size") > GROUP, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))).otherwise(0)).alias("part"))
-    own = matrix.join(parts, "cls", "left").select("token", "cls", "place", "n", "u", F.coalesce("home", "cls").alias("home"), F.coalesce("part", "cls").alias("part"), F.coalesce("size", F.lit(1)).alias("size"))
+    own = matrix.join(parts, "cls", "left").select("token", "cls", "place", "n", F.coalesce("home", "cls").alias("home"), F.coalesce("part", "cls").alias("part"), F.coalesce("size", F.lit(1)).alias("size"))
     mixed = own.groupBy("token").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("token")
     own = scratch.keep("mixed", own.join(mixed, "token"))
     scratch.drop("matrix")
 
-    # classes of the smaller component search the groups of the larger one;
-    # a class and a group's member share at most n - u tokens of either, their union holds the other's u as well, and
-    # no more tokens than follow their first common one, which is the first of its list, can be common
-    groups = own.groupBy("token", "home", "part", "size").agg(F.min("n").alias("least_n"), F.min("u").alias("least_u"), F.max(F.expr("n - u")).alias("most"), F.max(F.expr("n - place")).alias("left")).withColumnsRenamed({"home": "other", "size": "other_size"})
-    meet = own.select("token", F.col("cls").alias("q"), "place", "n", "u", "home", "size").join(groups, "token")
-    meet = meet.where(f"(size, home) < (other_size, other) and 100 * least(n - u, most) >= {percent} * greatest(n + least_u, least_n + u) and {100 + percent} * least(n - place, left) >= {percent} * (n + least_n)")
+    # classes of the smaller component search the groups of the larger one; of a class and a group's member
+    # no more tokens than follow their first common one, which is the first of its list, can be common on either side
+    left = f"{100 + percent} * (n - place) - {percent} * n"
+    groups = own.groupBy("token", "home", "part", "size").agg(F.min("n").alias("least_n"), F.max(F.expr(left)).alias("left")).withColumnsRenamed({"home": "other", "size": "other_size"})
+    meet = own.select("token", F.col("cls").alias("q"), "place", "n", "home", "size").join(groups, "token")
+    meet = meet.where(f"(size, home) < (other_size, other) and {left} >= {percent} * least_n and left >= {percent} * n")
     members = scratch.keep("members", own.select("cls", "part").distinct())
     pairs = scratch.keep("pairs", meet.select("q", "part").distinct())
     scratch.drop("mixed")

@@ -207,6 +207,28 @@ def test_jaccard_components(spark, docs, rows, odd, none):
     assert kept.columns == odd.columns
 
 
+@pytest.mark.parametrize("stars", [True, False])
+def test_jaccard_search_finds_all_links_of_clusters(spark, monkeypatch, stars):
+    """Common shingles go last, so a text and the same with few own words have unlike first tokens."""
+    rng, texts = np.random.default_rng(11), []
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    for _ in range(8):
+        base = words(93)
+        texts += [base] + [words(k) + base for k in (11, 15, 19)] + [base + words(k) for k in (7, 13)] + [base[a : a + 50] + words(k) for a, k in ((0, 3), (20, 40), (43, 9))]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if 100 * (same := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - same):
+                x, y = sorted((label[a], label[b]))
+                label = [x if v == y else v for v in label]
+    if not stars:  # the search has to find every link by itself
+        monkeypatch.setattr(jaccard_join, "_likely", lambda percent: lambda batches: (b.select(["a", "b"]).slice(0, 0) for b in batches))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df.repartition(1)).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
