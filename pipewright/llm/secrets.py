@@ -170,21 +170,23 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "label string, value string")
 
 
-def _runs(mask: np.ndarray, least: int) -> np.ndarray:
-    """Starts of the runs of at least ``least`` true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
+def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the runs of at least ``least`` true values; a run ends where its row ends."""
+    border = np.zeros(len(mask) + 1, bool)
+    border[offsets] = True
+    start = np.flatnonzero(mask & (border[:-1] | ~np.concatenate([[False], mask])[:-1]))
+    end = np.flatnonzero(mask & (border[1:] | ~np.concatenate([mask, [False]])[1:])) + 1
     return start[end - start >= least]
 
 
 def _scanned(texts: pa.Array) -> Iterator[tuple[int, str, list]]:
     """(row, text, base spans) of the rows that can hold a base span or a candidate.
 
-    Byte runs are found for all rows at once; runs across two rows only make a row look at its text in vain.
+    Byte runs are found for all rows at once, each within its row; a word across two rows only makes a row look at its text in vain.
     """
     data, offsets = buffers(texts)
     row = lambda at: set((np.searchsorted(offsets, at, side="right") - 1).tolist())
-    rows = row(_runs(_TOKEN_BYTE[data], CANDIDATE_LEAST))
+    rows = row(_runs(_TOKEN_BYTE[data], offsets, CANDIDATE_LEAST))
     whole = data.tobytes()
     low = whole.lower()
     words = {}

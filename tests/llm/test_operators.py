@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pipewright.llm import chat_format, collision_ann, compression_rules, jaccard_join, language_id, lattice_lm, mixing, packing, secrets, url_filter
@@ -88,6 +89,18 @@ def test_secret_grammar_and_redaction(spark):
     assert got.text == "é [secret]' and [secret]" and got.n_chars == len(got.text)
 
 
+def test_secret_rows_back_to_back(spark):
+    """Texts that begin and end with tokens hide nothing from each other, in any order."""
+    texts = ["abc", "0123456789abcdef" * 2, "", "AKIA" + "Z9" * 8, None, "é", "fedcba9876543210" * 2 + "x", "00", "password=hunter22", "x", "a0-" * 6]
+    for own in (texts, texts[::-1]):
+        found = [(r, base) for r, _, base in secrets._scanned(pa.array(own))]
+        whole = {r: secrets.base_spans(t) for r, t in enumerate(own) if t}
+        assert {r: b for r, b in found if b} == {r: b for r, b in whole.items() if b}
+        assert {r for r, t in enumerate(own) if t and secrets.CANDIDATE.search(t)} <= {r for r, _ in found}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
+    assert [r.text for r in secrets.redacted(df).orderBy("doc_id").collect()][:4] == ["abc", "[secret]", "", "[secret]"]
+
+
 def test_mixing(spark, docs, odd, none):
     got = mixing.op3_mixing(spark, DIR).toPandas()
     assert (got["taken"] <= 2 * got["size"]).all() and (got["target"] <= 2 * got["source_size"]).all()
