@@ -89,7 +89,7 @@ def _missing(a: bytes, b: bytes) -> int:
 
 
 def _signatures(width: int):
-    """Rows (doc_id, n, cls, sketch) of documents, and rows (token, df) of shingles seen in several sets of one chunk."""
+    """Rows (doc_id, n, cls, sketch, mark) of documents, and rows (token, df) of shingles seen in several sets of one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -99,11 +99,11 @@ def _signatures(width: int):
             token, df = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
             token, df = token[df > 1], df[df > 1]
             n = len(token)
-            return rows(pa.nulls(n, pa.int64()), df, token, False, [None] * n)
+            return rows(pa.nulls(n, pa.int64()), df, token, False, [None] * n, pa.nulls(n, pa.int64()))
 
-        def rows(doc_id, n, cls, is_doc, sketch) -> pa.RecordBatch:
-            columns = [doc_id, pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(np.full(len(cls), is_doc)), pa.array(sketch, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "is_doc", "sketch"])
+        def rows(doc_id, n, cls, is_doc, sketch, mark) -> pa.RecordBatch:
+            columns = [doc_id, pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(np.full(len(cls), is_doc)), pa.array(sketch, pa.binary()), mark]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "is_doc", "sketch", "mark"])
 
         for batch in batches:
             for part in chunks(batch):
@@ -114,7 +114,7 @@ def _signatures(width: int):
                     if c not in held:
                         held[c] = x
                         size += len(x)
-                yield rows(part.column("doc_id").cast(pa.int64()), np.diff(first), cls, True, [_sketch(x) if len(x) else None for x in own])
+                yield rows(part.column("doc_id").cast(pa.int64()), np.diff(first), cls, True, [_sketch(x) if len(x) else None for x in own], part.column("mark"))
                 if size >= _COUNTED:
                     yield counted()
                     held, size = {}, 0
@@ -257,18 +257,19 @@ def _open(percent: int):
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, n_shingles, component_id, cls) for every row of ``docs`` (doc_id, text; other columns are not read).
+    """(doc_id, n_shingles, component_id, cls, component, mark) for every row of ``docs`` (doc_id, text, and mark if there; other columns are not read).
 
     Two rows link when 100 * |A & B| >= percent * |A | B|. ``component_id`` is the smallest doc_id
-    reachable by links, itself included; ``cls`` is equal for rows with one set.
+    reachable by links, itself included; ``cls`` is equal for rows with one set, ``component`` for rows of one
+    component, whatever their ids (null without words). ``mark`` (long) is handed on.
     Null or empty text, or none but white space: n_shingles 0, linked with nothing. Fewer than ``width``
     words: the whole sequence is the one shingle. Repeated rows link with each other; an empty table gives
     an empty result. A null doc_id keeps its row and never names a component that has another id.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = scratch.keep("signatures", rows.mapInArrow(_signatures(width), "doc_id long, n long, cls long, is_doc boolean, sketch binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("mark") if "mark" in docs.columns else F.lit(None)).cast("long").alias("mark"))
+    seen = scratch.keep("signatures", rows.mapInArrow(_signatures(width), "doc_id long, n long, cls long, is_doc boolean, sketch binary, mark long"))
     sig = seen.where("is_doc").drop("is_doc")
     top = seen.where("not is_doc").groupBy("cls").agg(F.sum("n").alias("df")).where("df >= 4").orderBy(F.desc("df"), "cls").limit(heavy).collect()
     token = np.array([r[0] for r in top], np.int64).view(np.uint64)
@@ -278,6 +279,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     classes = scratch.keep("classes", sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     sig = sig.drop("sketch")
 
+    rows = rows.drop("mark")
     entries = scratch.keep("entries", rows.mapInArrow(_matrix(width, percent, token[order], level[order]), "token long, cls long, at long"))
     lists = entries.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("mark"), F.min(F.col("at") % 64).alias("level")).where("least < most")
     lists = lists.groupBy("least", "most", "size", "mark").agg(F.min(F.struct("level", F.col("token").bitwiseXOR(F.lit(-(2**63))), "token"))["token"].alias("token"), F.count("*").alias("times"))
@@ -341,9 +343,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     whole = scratch.keep("components", components(links.union(found), scratch, "rounds"))
     named = classes.join(whole.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = named.join(least, "component").select("cls", "component_id")
+    labels = named.join(least, "component").select("cls", "component_id", "component")
     out = sig.join(labels, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls", "component", "mark")
 
 
 def _both(edges: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -354,13 +356,16 @@ def _both(edges: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """The documents that name their component: one of each group of near duplicates stays, with all its columns.
+    """One document of each group of near duplicates, with all its columns: that of the smallest id, then row hash; null ids go last.
 
-    Documents without words stay. Rows that repeat a doc_id count as one document.
+    All rows without words stay. Ids need not be there or be unique: rows of one id with different texts are different documents.
     """
-    found = jaccard_components(docs)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    found = jaccard_components(docs.select("doc_id", "text", row.alias("mark")))
+    stay = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "mark")).alias("stay")).select(F.col("stay.mark").alias("_mark"))
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = docs.where(worded).withColumn("_mark", row).join(stay, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
+    return one.union(docs.where(~worded))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
