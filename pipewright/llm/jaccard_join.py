@@ -89,7 +89,7 @@ def _missing(a: bytes, b: bytes) -> int:
 
 
 def _signatures(width: int):
-    """Rows (doc_id, n, cls, sketch, mark) of documents, and rows (token, df) of shingles seen in several sets of one chunk."""
+    """Rows (doc_id, n, cls, sketch, mark, key) of documents, and rows (token, df) of shingles seen in several sets of one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -99,11 +99,12 @@ def _signatures(width: int):
             token, df = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
             token, df = token[df > 1], df[df > 1]
             n = len(token)
-            return rows(pa.nulls(n, pa.int64()), df, token, False, [None] * n, pa.nulls(n, pa.int64()))
+            none = pa.nulls(n, pa.int64())
+            return rows(none, df, token, False, [None] * n, none, none)
 
-        def rows(doc_id, n, cls, is_doc, sketch, mark) -> pa.RecordBatch:
-            columns = [doc_id, pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(np.full(len(cls), is_doc)), pa.array(sketch, pa.binary()), mark]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "is_doc", "sketch", "mark"])
+        def rows(doc_id, n, cls, is_doc, sketch, mark, key) -> pa.RecordBatch:
+            columns = [doc_id, pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(np.full(len(cls), is_doc)), pa.array(sketch, pa.binary()), mark, key]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "is_doc", "sketch", "mark", "key"])
 
         for batch in batches:
             for part in chunks(batch):
@@ -114,7 +115,7 @@ def _signatures(width: int):
                     if c not in held:
                         held[c] = x
                         size += len(x)
-                yield rows(part.column("doc_id").cast(pa.int64()), np.diff(first), cls, True, [_sketch(x) if len(x) else None for x in own], part.column("mark"))
+                yield rows(part.column("doc_id").cast(pa.int64()), np.diff(first), cls, True, [_sketch(x) if len(x) else None for x in own], part.column("mark"), part.column("key"))
                 if size >= _COUNTED:
                     yield counted()
                     held, size = {}, 0
@@ -269,17 +270,19 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("mark") if "mark" in docs.columns else F.lit(None)).cast("long").alias("mark"))
-    seen = scratch.keep("signatures", rows.mapInArrow(_signatures(width), "doc_id long, n long, cls long, is_doc boolean, sketch binary, mark long"))
+    # where a class's text is read again; not the id alone, which may be null or stand for several texts
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    seen = scratch.keep("signatures", rows.mapInArrow(_signatures(width), "doc_id long, n long, cls long, is_doc boolean, sketch binary, mark long, key long"))
     sig = seen.where("is_doc").drop("is_doc")
     top = seen.where("not is_doc").groupBy("cls").agg(F.sum("n").alias("df")).where("df >= 4").orderBy(F.desc("df"), "cls").limit(heavy).collect()
     token = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(token)
     level = np.log2(np.array([r[1] for r in top], float).clip(2)).astype(np.int64) if top else np.zeros(0, np.int64)
 
-    classes = scratch.keep("classes", sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    sig = sig.drop("sketch")
+    classes = scratch.keep("classes", sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    sig = sig.drop("sketch", "key")
 
-    rows = rows.drop("mark")
+    rows = rows.drop("doc_id", "mark")
     entries = scratch.keep("entries", rows.mapInArrow(_matrix(width, percent, token[order], level[order]), "token long, cls long, at long"))
     lists = entries.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("mark"), F.min(F.col("at") % 64).alias("level")).where("least < most")
     lists = lists.groupBy("least", "most", "size", "mark").agg(F.min(F.struct("level", F.col("token").bitwiseXOR(F.lit(-(2**63))), "token"))["token"].alias("token"), F.count("*").alias("times"))
@@ -293,8 +296,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     def sets_of(name: str, wanted: DataFrame) -> DataFrame:
         """(cls, tokens) of the wanted classes, from one document of each."""
-        need = wanted.distinct().join(classes, "cls").select("doc_id", F.col("cls").alias("want"))
-        return scratch.keep(name, rows.join(need, "doc_id").select("text", "want").mapInArrow(_full_sets(width), "cls long, tokens binary").dropDuplicates(["cls"]))
+        need = wanted.distinct().join(classes, "cls").select("key", F.col("cls").alias("want"))
+        return scratch.keep(name, rows.join(need, "key").select("text", "want").mapInArrow(_full_sets(width), "cls long, tokens binary").dropDuplicates(["cls"]))
 
     # stars: each class against the leaders of most of its shared tokens
     leaders = [F.min_by("cls", F.struct(F.col("u") / F.col("n"), "cls")), *(F.min_by("cls", F.xxhash64("cls", F.lit(i))) for i in range(1, LEADERS))]

@@ -242,6 +242,18 @@ def test_jaccard_search_finds_all_links_of_clusters(spark, monkeypatch, stars):
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_jaccard_links_of_null_and_repeated_ids(spark):
+    """Classes that only null ids hold, and several texts under one id, keep their links."""
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    given = [(None, text(0, 60)), (7, text(0, 61)), (None, text(0, 62)), (9, text(100, 160)), (9, text(300, 360)), (8, text(99, 160)), (3, text(299, 361)), (None, text(500, 560)), (None, text(500, 561)), (None, "")]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard_join.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    want = [(None, 56, 7), (7, 57, 7), (None, 58, 7), (9, 56, 8), (9, 56, 3), (8, 57, 8), (3, 58, 3), (None, 56, None), (None, 57, None), (None, 0, None)]
+    assert got == sorted(want, key=str)
+    kept = jaccard_join.near_duplicates_removed(df)
+    assert kept.count() == 5  # one of each of the four groups, and the empty text
+
+
 def test_near_duplicates_keep_rows_without_or_with_repeated_ids(spark):
     text = [" ".join(f"{k}w{i}" for i in range(30)) for k in "abcd"]
     given = [(1, text[0], "x"), (2, text[0], "x"), (None, text[0], "x"), (None, text[1], "x"), (None, text[2], "x"), (None, text[2], "x"), (3, text[3], "x"), (3, text[3] + " end", "x"), (4, "one", "x"), (4, "two", "x"), (5, " \n", "x"), (5, None, "x"), (None, "", "x"), (None, "", "x"), (6, "q", "y"), (6, "q", "z")]
