@@ -2,7 +2,7 @@
 
 Whole documents and fixed chunks are compressed with zstandard. A ratio below its band means
 repetition, one above it text that is close to random. Short texts carry more overhead, so the
-limits depend on the length. Simple counts of words, symbols, lines and repeated windows come with it.
+limits depend on the length, of documents and of chunks alike. Simple counts of words, symbols, lines and repeated windows come with it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ LEVEL = 3
 CHUNK = 2048  # bytes
 # Fixed values: (least bytes, lowest ratio, highest ratio); below the first, no limit.
 BANDS = ((128, 0.30, 1.05), (256, 0.28, 0.90), (512, 0.28, 0.82), (1024, 0.25, 0.75), (2048, 0.22, 0.70), (4096, 0.20, 0.66), (16384, 0.18, 0.64))
-CHUNK_BAND = (0.22, 0.72)
-BAD_CHUNKS = 0.5  # of the full chunks may lie outside the band
+BAD_CHUNKS = 0.3  # of a text's bytes may lie in chunks outside their band
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent
 _SYMBOL = np.zeros(256, bool)
@@ -40,14 +39,17 @@ def _verdicts(data: bytes, bounds: list[int]) -> tuple[list[float], list[float],
     press = zstandard.ZstdCompressor(level=LEVEL).compress
     ratios, bad, kept = [], [], []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        text = data[a:b]
+        text, out = data[a:b], 0
         ratio = len(press(text)) / (b - a) if b > a else 0.0
-        full = (b - a) // CHUNK
-        out = sum(not CHUNK_BAND[0] <= len(press(text[i * CHUNK : (i + 1) * CHUNK])) / CHUNK <= CHUNK_BAND[1] for i in range(full)) if full > 1 else 0
         lo, hi = band(b - a)
+        fits = lo <= ratio <= hi
+        for at in range(0, b - a, CHUNK) if b - a > CHUNK else ():
+            chunk = text[at : at + CHUNK]
+            low, high = band(len(chunk))
+            out += 0 if low <= len(press(chunk)) / len(chunk) <= high else len(chunk)
         ratios.append(ratio)
-        bad.append(out / full if full else 0.0)
-        kept.append(lo <= ratio <= hi and (full == 0 or out <= BAD_CHUNKS * full))
+        bad.append(out / (b - a) if b - a > CHUNK else float(not fits))
+        kept.append(fits and out <= BAD_CHUNKS * (b - a))
     return ratios, bad, kept
 
 
@@ -55,7 +57,9 @@ def assess(docs: DataFrame) -> DataFrame:
     """Counts, compression ratios and verdict of every row of ``docs`` (doc_id, text; other columns are not read).
 
     A null or empty text has no words, ratio 0 and fails for want of words. Whole texts are compressed whatever
-    their length; the last, shorter chunk of a text and texts of a single chunk have no chunk ratio.
+    their length, and so is every chunk, the last one against the band of its own size; a text of a single chunk is that chunk.
+    ``bad_chunks`` is the share of the text's bytes in chunks outside their bands. Repeated rows and ids are
+    judged one by one; a ratio on a limit passes. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,6 +158,31 @@ def test_compression_rules(spark, rows, odd, none):
     assert compression_rules.assess(odd).count() == len(ODD) and compression_rules.assess(none).count() == 0
 
 
+def test_compression_bands(spark):
+    """Ratios and verdicts against a plain reading of the rule, with repetition or noise in every part of a text."""
+    import random
+
+    import zstandard
+
+    chance = random.Random(2)
+    prose = lambda n: " ".join("".join(chance.choice("etaoinshrdlucm") for _ in range(chance.randint(2, 9))) for _ in range(n))
+    noise = "".join(chr(chance.randint(0x4E00, 0x9FFF)) for _ in range(700))
+    same = "very much the same " * 110
+    texts = [prose(60), prose(300), prose(2000), prose(330) + same, same + prose(330), prose(150) + noise[:400], prose(1000) + noise, prose(3000) + same, prose(400) + noise[:60], None, "", "x"]
+    limits = lambda n: max(((least, lo, hi) for least, lo, hi in compression_rules.BANDS if least <= n), default=(0, 0.0, 99.0))[1:]
+    ratio = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b) if b else 0.0
+    inside = lambda b: limits(len(b))[0] <= ratio(b) <= limits(len(b))[1]
+    got = {r.doc_id: r for r in compression_rules.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    fate = []
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        outside = sum(len(raw[a : a + 2048]) for a in range(0, len(raw), 2048) if not inside(raw[a : a + 2048]))
+        fate.append(inside(raw) and outside <= 0.3 * len(raw))
+        assert abs(got[i].ratio - ratio(raw)) < 1e-12 and abs(got[i].bad_chunks - (outside / len(raw) if raw else 0)) < 1e-12
+        assert got[i].kept == (fate[i] and not got[i].base_failed)
+    assert fate[:3] == [True] * 3 and not fate[3] and not fate[4] and not fate[5] and fate[7]
+
+
 def test_nearest_recall(spark):
     v = spark.read.parquet(f"{DIR}/embeddings.parquet").toPandas()
     m, ids = np.stack(v["embedding"]).astype(float), v["vec_id"].to_numpy()
