@@ -7,8 +7,9 @@ logarithm of the labelled length and by the text's length.
 
 The automata become dense transition tables, in which a failed match is a step to the
 state after a fresh start, with a mark in the lowest bit. A batch of whole texts is cut into
-blocks of ``BLOCK`` symbols, and all blocks take their next step at once; a
-block's last phrase ends with it.
+blocks of ``BLOCK`` symbols, and all blocks take their next step at once, each from a fresh start. A block whose
+predecessor ended inside a phrase is then parsed from there as well, until both parses
+begin a phrase at one place and agree from there on: the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .scratch import table
 from .wordhash import chunks
 
 SYMBOLS = 20_000  # labelled symbols per language: the bound on what the automata learn from
+TOTAL = 64 * SYMBOLS  # labelled symbols of all languages: bounds the tables that are broadcast, however many labels there are
 DOCUMENTS = 64  # labelled documents per language that reach the driver, smallest hashes first
 LETTERS = 60  # most frequent letters with a symbol of their own
 BLOCK = 512
@@ -103,6 +105,7 @@ class Model:
         self.langs = sorted(samples)
         self.code = _alphabet([t for lang in self.langs for t in samples[lang]])
         self.width = int(self.code.max()) + 1
+        symbols = max(1, min(symbols, TOTAL // max(1, len(self.langs))))
         texts = [np.concatenate([np.zeros(1, np.uint8), *(_symbols(t, self.code) for t in samples[lang])])[:symbols] for lang in self.langs]
         self.tables = [parsing_table(t, self.width) for t in texts]
         self.scale = [np.log2(len(t) + 1) for t in texts]
@@ -120,21 +123,46 @@ class Model:
         begin = bounds[text] + (np.arange(first[-1]) - first[text]) * BLOCK
         size = np.minimum(BLOCK, bounds[text + 1] - begin)
         order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
+        longest = size[order]
         padded = np.concatenate([symbols, np.zeros(1, np.uint8)])
-        alive = len(size) - np.searchsorted(size[::-1], np.arange(BLOCK), side="right")
+        alive = len(size) - np.searchsorted(longest[::-1], np.arange(BLOCK), side="right")
         counts = np.zeros((len(self.langs), len(size)), np.int32)
         state = np.zeros((len(self.langs), len(size)), np.int32)
-        for step in range(int(size[0]) if len(size) else 0):
+        for step in range(int(longest[0]) if len(size) else 0):
             k = alive[step]
-            c = padded[begin[:k] + step].astype(np.int32)
+            c = padded[begin[order[:k]] + step].astype(np.int32)
             for i, steps in enumerate(self.tables):
                 to = steps[(state[i, :k] >> 1) + c]
                 counts[i, :k] += to & 1
                 state[i, :k] = to
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        counts, state = counts[:, place], state[:, place]
+        later = np.flatnonzero(np.diff(text) == 0) + 1  # blocks that continue the text of the one before
+        for i, steps in enumerate(self.tables):
+            assumed = np.zeros(len(size), np.int32)  # the state that each block's parse began in
+            redo = later[state[i, later - 1] >> 1 != 0]
+            while len(redo):
+                now, old, at = state[i, redo - 1] >> 1, assumed[redo], redo
+                assumed[redo] = now
+                for step in range(BLOCK):
+                    open_ = step < size[at]
+                    state[i, at[~open_]] = now[~open_] << 1
+                    at, now, old = at[open_], now[open_], old[open_]
+                    if not len(at):
+                        break
+                    c = padded[begin[at] + step].astype(np.int32)
+                    a, b = steps[now + c], steps[old + c]
+                    counts[i, at] += (a & 1) - (b & 1)
+                    now, old = a >> 1, b >> 1
+                    apart = now != old
+                    at, now, old = at[apart], now[apart], old[apart]
+                else:
+                    state[i, at] = now << 1
+                redo = later[(state[i, later - 1] >> 1) != assumed[later]]
         out = np.zeros((len(self.langs), len(n)))
         for i, scale in enumerate(self.scale):
-            out[i] = (np.bincount(text[order], counts[i], minlength=len(n)) if len(size) else 0) * scale / np.maximum(n, 1)
+            out[i] = (np.bincount(text, counts[i], minlength=len(n)) if len(size) else 0) * scale / np.maximum(n, 1)
         return out
 
 

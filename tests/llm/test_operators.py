@@ -66,6 +66,44 @@ def test_cross_parsing_counts_longest_matches():
     assert count == want
 
 
+def test_predictions_are_those_of_an_unblocked_parse(spark, docs):
+    """The whole of ``predict`` against a plain parse with substring look-ups, over texts of many blocks."""
+    learned = {r.lang: r.text for r in docs.where("lang is not null and length(text) > 2000").select("lang", "text").collect()}
+    samples = {lang: [t[:1500]] for lang, t in learned.items()}
+    model = language_id.Model(samples)
+    plain = {lang: "".join(map(chr, np.concatenate([[0], language_id._symbols(samples[lang][0], model.code)]).tolist())) for lang in model.langs}
+
+    def phrases(text, known):
+        n = at = 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in known:
+                size += 1
+            at, n = at + size, n + 1
+        return n
+
+    texts = [*(t[1000:4000] for t in learned.values()), "".join(t[:900] for t in learned.values()), samples[model.langs[0]][0] * 2, "zzz " * 400, "a", "1 2", "", None]
+    symbols = [language_id._symbols(t or "", model.code) for t in texts]
+    bits = model.bits(np.concatenate(symbols), np.cumsum([0, *map(len, symbols)]))
+    got = {r.i: r for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model, "i").collect()}
+    for j, own in enumerate(symbols):
+        want = [phrases("".join(map(chr, own.tolist())), plain[lang]) * np.log2(len(plain[lang]) + 1) / max(1, len(own)) for lang in model.langs]
+        assert np.allclose(bits[:, j], want)
+        least, second = sorted(want)[:2]
+        some = bool((own > 0).any())
+        assert got[j].lang_pred == (model.langs[int(np.argmin(want))] if some else "und")
+        assert 0 <= got[j].score <= 1 and abs(got[j].score - ((second - least) / second if some else 0)) < 1e-9
+
+
+def test_language_ties_and_repeated_rows(spark):
+    same = spark.createDataFrame([(1, "abc abd", "b"), (2, "abc abd", "a"), (3, "abc abd", "a")], "doc_id long, text string, lang string")
+    model = language_id.fit(same, F.lit(True))
+    got = language_id.predict(same.union(same), model, "doc_id").collect()
+    assert len(got) == 6 and {(r.lang_pred, r.score) for r in got} == {("a", 0.0)}
+    many = language_id.Model({f"l{i:03d}": [f"word{i} " * 50] for i in range(200)}, 20_000)
+    assert sum(map(len, many.tables)) < 3 * language_id.TOTAL * many.width
+
+
 def test_secret_base_spans(spark, rows, odd, none):
     for r in secrets.op2_secret_scan(spark, DIR).collect():
         text, spans = rows[r.doc_id].text or "", []
