@@ -232,8 +232,40 @@ def test_nearest_recall(spark):
         hits += len(set(ids[best]) & set(own["vec_id"]))
         assert sorted(own["rank"]) == list(range(1, 11))
     assert hits >= 0.9 * len(got) > 0
-    bad = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    bad = spark.createDataFrame([(0, [1.0, 0.0], "s"), (1, None, "s"), (2, [0.0, 0.0], "s"), (3, [float("nan"), 1.0], "s"), (4, [1.0, 0.0], "s"), (4, [1.0, 0.0], "s"), (None, [1.0, 0.0], "s"), (5, [], "s"), (6, [1.0], "s"), (10, [2.0, 1.0, 1.0], "s"), (11, [2.0, 1.0, 3.0], "s"), (0, [1.0, 0.0], "s")], "vec_id long, embedding array<float>, slot string")
     assert [r[:] for r in collision_ann.nearest(bad, F.col("vec_id") == 0).collect()] == [(0, 1, 4, 0.0), (0, 2, 4, 0.0)]
+    assert [r[:] for r in collision_ann.nearest(bad, F.col("vec_id").isin(6, 10, 1)).collect()] == [(10, 1, 11, 2.0)]  # each length on its own
+    assert collision_ann.nearest(bad.limit(0), F.col("vec_id") == 0).count() == collision_ann.nearest(bad, F.lit(None).cast("boolean")).count() == 0
+
+
+def test_nearest_over_blocks(spark):
+    """Recall, ties and the share of verified vectors over several blocks of vectors with and without structure."""
+    rng = np.random.default_rng(8)
+    plain = rng.standard_normal((9000, 64))
+    near = np.repeat(rng.standard_normal((80, 64)), 100, axis=0) + 0.2 * rng.standard_normal((8000, 64))
+    m = np.concatenate([plain, near, np.repeat(plain[:1], 1000, axis=0)])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(m)), "embedding": pa.array(m.tolist())})).repartition(4)
+    got = collision_ann.nearest(df, F.col("vec_id") % 200 == 0, block=4096).toPandas().sort_values(["query_id", "rank"])
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        d = np.sqrt(((m - m[q]) ** 2).sum(1))
+        best = [i for i in np.lexsort((np.arange(len(m)), d)) if i != q][:10]
+        hits += len(set(best) & set(own["vec_id"]))
+        assert np.allclose(own["score"], d[own["vec_id"]]) and list(own["rank"]) == list(range(1, 11))
+        if q == 0:  # a thousand copies: the smallest ids
+            assert list(own["vec_id"]) == list(range(17000, 17010))
+    assert got["query_id"].nunique() == 90 and hits >= 0.9 * len(got)
+    for part, most in ((plain[:8192], 0.2), (near[:8000], 0.1)):
+        index = collision_ann.CollisionIndex(part, np.arange(len(part)))
+        assert np.mean([v for _, _, v in index.search(part[::200], np.arange(len(part))[::200])]) < most * len(part)
+
+
+def test_nearest_threshold():
+    """A vector at the radius reaches the threshold as often as is said."""
+    for arrays in (20, 160):
+        need = collision_ann.threshold(arrays)
+        hits = (np.abs(np.random.default_rng(4).standard_normal((20_000, arrays))) <= collision_ann.WIDTH).sum(1)
+        assert (hits >= need).mean() > 1 - collision_ann.MISS - 0.01 and (hits >= need + 1).mean() < 1 - collision_ann.MISS + 0.01
 
 
 def test_packing(spark, docs, rows, odd, none):
