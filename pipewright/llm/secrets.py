@@ -1,11 +1,12 @@
 """Secret scans by grammar inference (operator 2).
 
 Fixed patterns give base spans. Their values, in a bounded sample, are labelled credentials;
-other long tokens of the sample are labelled text. For each label a prefix tree
-of character classes is folded into a probabilistic automaton by merging states whose outgoing
-frequencies are statistically compatible (Hoeffding bound). Every further candidate token is then
-scored by the likelihood of its format: it is a secret if some credential automaton
-explains it better than the text automaton by ``MARGIN`` bits a character.
+other tokens of the sample are labelled text. For each label a prefix tree
+of character classes is folded into a probabilistic automaton by merging states whose frequencies of next
+classes and of ends are statistically compatible (Hoeffding bound). Every token outside the base spans, of any length
+and make, is then scored by the likelihood of its format: it is a secret if some credential automaton, with
+its end, explains it better than the text automaton by ``MARGIN`` bits. Tokens whose classes exclude such a
+margin, whatever the states, need no walk through the automata.
 """
 
 from __future__ import annotations
@@ -16,37 +17,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .scratch import table
-from .wordhash import buffers, chunks
+from .wordhash import buffers, chunks, hashes
 
 # Kinds in order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
-ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
+ASSIGN = re.compile(rb"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+HEX = re.compile(rb"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-CANDIDATE_LEAST = 16
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}")
 SAMPLE = 4000  # labelled values of each label that are learned from, smallest hashes first
-DEPTH = 64  # characters of a value that the grammar reads; longer values continue in its last state
+READ = 256  # bytes of a labelled value that are learned from; scoring reads all of a token
 ALPHA = 0.05
-MARGIN = 0.35
-_CLASSES = {**dict.fromkeys("0123456789", 0), **dict.fromkeys("abcdef", 1), **dict.fromkeys("ghijklmnopqrstuvwxyz", 2), **dict.fromkeys("ABCDEF", 3), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", 4)}
-_SIZES = (10, 6, 20, 6, 20, 5)
+MARGIN = 40.0  # bits: odds of 2 ** 40; some 10 to 15 random characters of a known format in ordinary prose
+STEPS = 256  # bytes of tokens that are walked side by side; the rest of longer ones goes token by token
+_GROUPS = (b"0123456789", b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEF", b"GHIJKLMNOPQRSTUVWXYZ", b"+/_=-.")
+_CLASS = np.full(256, len(_GROUPS) - 1, np.uint8)
+for _i, _g in enumerate(_GROUPS):
+    _CLASS[list(_g)] = _i
+_N = len(_GROUPS)
 _HEX_BYTE, _TOKEN_BYTE = np.zeros(256, bool), np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
 _TOKEN_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 
 
-def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool = True) -> list[tuple[int, int, str, int, int]]:
-    """(start, kind's place, kind, value's start, end) of the fixed patterns; a span of assign covers the whole match."""
+def base_spans(text: bytes, assign: bool = True, access: bool = True, hexes: bool = True) -> list[tuple[int, int, str, int, int]]:
+    """(start, kind's place, kind, value's start, end) of the fixed patterns, in bytes; a span of assign covers the whole match."""
     out = []
     if assign:
         out += [(m.start(), 0, "assign", m.start(2), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
@@ -57,27 +61,16 @@ def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool
     return sorted(out)
 
 
-def _candidates(text: str, base: list) -> list[tuple[int, int]]:
-    """Long tokens with a digit and no overlap with base spans."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(map(str.isdigit, m[0])) and all(b <= x[0] or a >= x[4] for x in base):
-            out.append((a, b))
-    return out
-
-
 class Automaton:
     """A probabilistic automaton over character classes, inferred from a sample by state merging."""
 
-    def __init__(self, sample: list[str]):
+    def __init__(self, sample: list[bytes]):
         self.next: list[dict[int, int]] = [{}]
         self.count: list[dict[int, int]] = [{}]
         self.ends = [0]
         for value in sample:
             state = 0
-            for ch in value[:DEPTH]:
-                c = _CLASSES.get(ch, 5)
+            for c in _CLASS[np.frombuffer(value[:READ], np.uint8)].tolist():
                 self.count[state][c] = self.count[state].get(c, 0) + 1
                 if c not in self.next[state]:
                     self.next[state][c] = len(self.next)
@@ -86,9 +79,8 @@ class Automaton:
                     self.ends.append(0)
                 state = self.next[state][c]
             self.ends[state] += 1
-        self._merge()
-        self.lengths = (min(map(len, sample), default=0), max(map(len, sample), default=0))
-        self.n = len(sample)
+        self._tabulate(self._merge())
+        del self.next, self.count, self.ends
 
     def _total(self, s: int) -> int:
         return self.ends[s] + sum(self.count[s].values())
@@ -97,15 +89,16 @@ class Automaton:
         return abs(a / na - b / nb) > math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
 
     def _compatible(self, a: int, b: int) -> bool:
+        """Whether a, a state of the automaton, and b, the root of a tree, end and go on alike, and so do their successors."""
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
             na, nb = self._total(a), self._total(b)
             if not na or not nb:
                 continue
-            if any(self._differ(self.count[a].get(c, 0), na, self.count[b].get(c, 0), nb) for c in range(6)):
+            if self._differ(self.ends[a], na, self.ends[b], nb) or any(self._differ(self.count[a].get(c, 0), na, self.count[b].get(c, 0), nb) for c in range(_N)):
                 return False
-            stack += [(self.next[a][c], self.next[b][c]) for c in self.next[b] if c in self.next[a] and self.next[a][c] != a]
+            stack += [(self.next[a][c], self.next[b][c]) for c in self.next[b] if c in self.next[a]]
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -123,7 +116,8 @@ class Automaton:
                 else:
                     self.next[a][c] = to
 
-    def _merge(self) -> None:
+    def _merge(self) -> list[int]:
+        """Fold each state at the border into a compatible one or keep it; the states kept."""
         red, blue = [0], [(0, c) for c in sorted(self.next[0])]
         while blue:
             parent, c = blue.pop(0)
@@ -139,88 +133,183 @@ class Automaton:
             else:
                 red.append(b)
                 blue += [(b, y) for y in sorted(self.next[b])]
-
-    def bits(self, value: str) -> float:
-        """Cost of a value in bits a character, smoothed, with characters of a class equally likely."""
+        return red
+
+    def _tabulate(self, states: list[int]) -> None:
+        """``step``, ``cost`` by state and class, and ``end`` by state: next state, bits of a character and of the end, smoothed.
+
+        Characters of a class are equally likely; a class never seen in a state leaves the state as it is.
+        """
+        place = {s: i for i, s in enumerate(states)}
+        self.step, self.cost, self.end = np.zeros((len(states), _N), np.int32), np.zeros((len(states), _N)), np.zeros(len(states))
+        for s, i in place.items():
+            total = self._total(s) + 0.1 * (_N + 1)
+            self.end[i] = -math.log2((self.ends[s] + 0.1) / total)
+            for c in range(_N):
+                self.step[i, c] = place[self.next[s][c]] if c in self.next[s] else i
+                self.cost[i, c] = -math.log2((self.count[s].get(c, 0) + 0.1) / total / len(_GROUPS[c]))
+
+    def bits(self, value: bytes) -> float:
+        """Cost of a whole value and its end."""
         state, cost = 0, 0.0
-        for ch in value:
-            c = _CLASSES.get(ch, 5)
-            total = self._total(state)
-            cost -= math.log2((self.count[state].get(c, 0) + 0.1) / (total + 0.7) / _SIZES[c])
-            state = self.next[state].get(c, state)
-        return cost / max(1, len(value))
-
-
-def labelled(docs: DataFrame) -> DataFrame:
-    """(label, value) of all base values and of the other candidates, in every whole text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label, value = [], []
-            for part in chunks(batch):
-                for _, text, base in _scanned(part.column("text")):
-                    for _, _, kind, a, b in base:
-                        label.append(kind)
-                        value.append(text[a:b])
-                    for a, b in _candidates(text, base):
-                        label.append("text")
-                        value.append(text[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(value, pa.string())], names=["label", "value"])
+        for c in _CLASS[np.frombuffer(value, np.uint8)].tolist():
+            cost += self.cost[state, c]
+            state = self.step[state, c]
+        return float(cost + self.end[state])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "label string, value string")
 
-
-def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
-    """Starts of the runs of at least ``least`` true values; a run ends where its row ends."""
+def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of at least ``least`` true values; a run ends where its row ends."""
     border = np.zeros(len(mask) + 1, bool)
     border[offsets] = True
     start = np.flatnonzero(mask & (border[:-1] | ~np.concatenate([[False], mask])[:-1]))
     end = np.flatnonzero(mask & (border[1:] | ~np.concatenate([mask, [False]])[1:])) + 1
-    return start[end - start >= least]
+    long = end - start >= least
+    return start[long], end[long]
 
 
-def _scanned(texts: pa.Array) -> Iterator[tuple[int, str, list]]:
-    """(row, text, base spans) of the rows that can hold a base span or a candidate.
+class Scan:
+    """Base spans and other tokens of a chunk of texts, with places in the chunk's bytes.
 
-    Byte runs are found for all rows at once, each within its row; a word across two rows only makes a row look at its text in vain.
+    Only rows with a keyword, a long run of hexadecimal digits or the access prefix can hold base spans; these are
+    found for all rows at once, runs within their rows. ``tokens`` are the maximal runs of token bytes that
+    no base span touches.
     """
-    data, offsets = buffers(texts)
-    row = lambda at: set((np.searchsorted(offsets, at, side="right") - 1).tolist())
-    rows = row(_runs(_TOKEN_BYTE[data], offsets, CANDIDATE_LEAST))
-    whole = data.tobytes()
-    low = whole.lower()
-    words = {}
-    for w in WORDS:
-        at = low.find(w)
-        while at >= 0:
-            words.setdefault(int(np.searchsorted(offsets, at, side="right")) - 1, True)
-            at = low.find(w, at + 1)
-    for r in sorted(rows | set(words)):
-        text = texts[r].as_py()
-        if text:
-            yield r, text, base_spans(text, assign=r in words, access="AKIA" in text)
 
+    def __init__(self, texts: pa.Array):
+        self.data, self.offsets = buffers(texts)
+        data, offsets = self.data, self.offsets
+        self.raw = data.tobytes()
+        row = lambda at: np.searchsorted(offsets, at, side="right") - 1
+        rows = set(row(_runs(_HEX_BYTE[data], offsets, LEAST["hex"])[0]).tolist())
+        low = self.raw.lower()
+        for w in (*WORDS, b"akia"):
+            at = low.find(w)
+            while at >= 0:
+                rows.add(int(row(at)))
+                at = low.find(w, at + 1)
+        self.base: list[tuple[int, int, int, str, int, int]] = []  # row, start, kind's place, kind, value's start, end
+        for r in sorted(rows):
+            a = int(offsets[r])
+            self.base += [(r, a + s, place, kind, a + v, a + e) for s, place, kind, v, e in base_spans(self.raw[a : int(offsets[r + 1])])]
+        self.start, self.end = _runs(_TOKEN_BYTE[data], offsets, 1)
+        if self.base:
+            cover = np.zeros(len(data) + 1, np.int32)
+            for _, s, _, _, _, e in self.base:
+                cover[s] += 1
+                cover[e] -= 1
+            touched = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
+            free = touched[self.end] == touched[self.start]
+            self.start, self.end = self.start[free], self.end[free]
+
+    def points(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Places in bytes as code points of their rows."""
+        upto = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        return upto[at] - upto[self.offsets[rows]]
+
+
+class _Least:
+    """The distinct values with the smallest hashes of a stream."""
+
+    def __init__(self, most: int):
+        self.most, self.of, self.limit = most, {}, 1 << 64
+
+    def add(self, h: int, value: bytes) -> None:
+        if h < self.limit:
+            self.of[h] = value
+            if len(self.of) > 2 * self.most:
+                self.of = dict(sorted(self.of.items())[: self.most])
+                self.limit = max(self.of)
+
+
+def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(label, h, value): values of the base spans and tokens outside them in every whole text; of each label a task's ``sample`` smallest hashes."""
 
-class Grammar:
-    """Automata of the credential kinds and of ordinary long tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {k: _Least(sample) for k in (*KINDS, "text")}
+        for batch in batches:
+            for part in chunks(batch):
+                scan = Scan(part.column("text"))
+                for _, _, _, kind, a, b in scan.base:
+                    least[kind].add(xxhash.xxh64_intdigest(scan.raw[a:b]), scan.raw[a:b][:READ])
+                h, own = hashes(scan.data, scan.start, scan.end), least["text"]
+                h, first = np.unique(h, return_index=True)
+                for x, i in zip(h.tolist(), first[: 2 * sample].tolist(), strict=False):
+                    if x >= own.limit:
+                        break
+                    own.add(x, scan.raw[scan.start[i] : scan.end[i]][:READ])
+        found = [(label, h, v) for label, own in least.items() for h, v in sorted(own.of.items())[:sample]]
+        label, h, value = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(value, pa.binary())], names=["label", "h", "value"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "label string, h long, value binary")
 
-    def __init__(self, values: dict[str, list[str]]):
-        self.text = Automaton(values.get("text", []))
-        self.kinds = [Automaton(values[k]) for k in KINDS if len(values.get(k, [])) >= 8]
 
-    def is_secret(self, value: str) -> bool:
-        plain = self.text.bits(value)
-        return any(k.lengths[0] <= len(value) <= k.lengths[1] and k.bits(value) + MARGIN < plain for k in self.kinds)
+class Grammar:
+    """Automata of the credential kinds and of ordinary tokens."""
+
+    def __init__(self, values: dict[str, list[bytes]]):
+        self.kinds = [Automaton(values[k]) for k in KINDS if values.get(k)]
+        own = [Automaton(values.get("text", [])), *self.kinds]
+        first = np.cumsum([0, *(len(a.end) for a in own)])
+        self.first = first[:-1].astype(np.int32) * _N
+        self.step = np.concatenate([(a.step + f).ravel() * _N for a, f in zip(own, first, strict=False)]).astype(np.int32)
+        self.cost = np.concatenate([a.cost.ravel() for a in own]).astype(np.float32)
+        self.end = np.concatenate([a.end for a in own]).astype(np.float32)
+        if self.kinds:
+            # what a character of each class, and the end, can add to the margin at most
+            cheapest = np.min([a.cost.min(0) for a in self.kinds], axis=0)
+            self.most = np.maximum(0, own[0].cost.max(0) - cheapest)[_CLASS]
+            self.most_end = max(0.0, own[0].end.max() - min(a.end.min() for a in self.kinds))
+
+    def gains(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """By how many bits the best credential automaton explains each token better than the text automaton."""
+        size = end - start
+        order = np.argsort(-size, kind="stable")
+        begin, size = start[order], size[order]
+        steps = min(STEPS, int(size[0])) if len(size) else 0
+        alive = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
+        state = np.repeat(self.first[:, None], len(size), axis=1)
+        bits = np.zeros(state.shape, np.float32)
+        for i in range(steps):
+            k = alive[i]
+            at = state[:, :k] + _CLASS[data[begin[:k] + i]]
+            bits[:, :k] += self.cost[at]
+            state[:, :k] = self.step[at]
+        for j in range(int((size > STEPS).sum())):
+            codes = _CLASS[data[begin[j] + STEPS : begin[j] + size[j]]].tolist()
+            for a in range(len(state)):
+                now, cost = int(state[a, j]), 0.0
+                for c in codes:
+                    cost += self.cost[now + c]
+                    now = int(self.step[now + c])
+                state[a, j], bits[a, j] = now, bits[a, j] + cost
+        bits += self.end[state // _N]
+        out = np.empty(len(size))
+        out[order] = bits[0] - bits[1:].min(0)
+        return out
+
+    def secrets(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which tokens are secrets."""
+        out = np.zeros(len(start), bool)
+        if self.kinds and len(start):
+            bound = np.concatenate([[0.0], np.cumsum(self.most[data])])
+            open_ = np.flatnonzero(bound[end] - bound[start] + self.most_end >= MARGIN - 1e-3)
+            out[open_] = self.gains(data, start[open_], end[open_]) >= MARGIN
+        return out
+
+    def is_secret(self, value: bytes) -> bool:
+        return bool(self.secrets(np.frombuffer(value, np.uint8), np.array([0]), np.array([len(value)]))[0])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """Learn from at most ``sample`` distinct values of each label, those with the smallest hashes."""
-    rows = labelled(docs).distinct().withColumn("h", F.xxhash64("value"))
+    """Learn from at most ``sample`` distinct values of each label, those with the smallest hashes (ties: the least value)."""
+    rows = labelled(docs, sample).distinct()
     for by in (["label", F.pmod("h", F.lit(64))], ["label"]):
-        rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("h", "value"))).where(F.col("i") <= sample)
-    values: dict[str, list[str]] = {}
+        rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("h").bitwiseXOR(F.lit(-(2**63))), "value"))).where(F.col("i") <= sample)
+    values: dict[str, list[bytes]] = {}
     for r in rows.select("label", "value").collect():
-        values.setdefault(r[0], []).append(r[1])
+        values.setdefault(r[0], []).append(bytes(r[1]))
     return Grammar({k: sorted(v) for k, v in values.items()})
 
 
@@ -228,7 +317,7 @@ def spans_of(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
     """``keep`` columns of every row with base and all: arrays of (start, kind, end) by start, then kind.
 
     Offsets are code points, ends exclusive. Kind ``format`` marks spans that the automata add; they never overlap base
-    spans. Null or empty texts have no spans; a text that repeats is judged alike each time.
+    spans. Null or empty texts have no spans; a text that repeats is judged alike each time. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
@@ -237,11 +326,19 @@ def spans_of(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
         g = shared.value
         for batch in batches:
             for part in chunks(batch, "_text"):
+                scan = Scan(part.column("_text"))
                 base, every = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
-                for r, text, found in _scanned(part.column("_text")):
-                    base[r] = [(s, kind, e) for s, _, kind, _, e in found]
-                    more = [(a, 3, "format", a, b) for a, b in _candidates(text, found) if g.is_secret(text[a:b])]
-                    every[r] = [(s, kind, e) for s, _, kind, _, e in sorted(found + more)]
+                hit = g.secrets(scan.data, scan.start, scan.end)
+                start, end = scan.start[hit], scan.end[hit]
+                more = zip((np.searchsorted(scan.offsets, start, side="right") - 1).tolist(), start.tolist(), end.tolist(), strict=True)
+                found = sorted([(r, s, place, kind, e) for r, s, place, kind, _, e in scan.base] + [(r, s, len(KINDS), "format", e) for r, s, e in more])
+                if found:
+                    rows = np.array([f[0] for f in found])
+                    at, to = scan.points(np.array([f[1] for f in found]), rows), scan.points(np.array([f[4] for f in found]), rows)
+                    for (r, _, place, kind, _), s, e in zip(found, at.tolist(), to.tolist(), strict=True):
+                        every[r].append((s, kind, e))
+                        if place < len(KINDS):
+                            base[r].append((s, kind, e))
                 dicts = lambda rows: pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in own] for own in rows], span)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), dicts(base), dicts(every)], names=[*keep, "base", "every"])
 
@@ -268,6 +365,7 @@ def _joined(spans):
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ``spans_of`` for every document; nulls and empty tables as there."""
     docs = table(spark, sf_dir, "documents")
     found = spans_of(docs, fit(docs), "doc_id")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -69,6 +69,14 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES)
         at = to
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte runs, given by their places in ``data``."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
 class Words:
     """Words of the rows of a string column: ``hash`` per word, ``first`` with the rows' word offsets."""
 
@@ -92,10 +100,7 @@ class Words:
         self.solid = solid
 
     def hashes(self) -> np.ndarray:
-        up, down = _powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_CODES[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        return hashes(self.data, self.start, self.end)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""

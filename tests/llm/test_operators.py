@@ -104,24 +104,77 @@ def test_language_ties_and_repeated_rows(spark):
     assert sum(map(len, many.tables)) < 3 * language_id.TOTAL * many.width
 
 
+def spans_by_the_rules(text):
+    """(start, place, kind, end) by the contract's patterns, typed anew here."""
+    found = []
+    for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[1]) >= 6:
+            found.append((m.start(), 0, "assign", m.end()))
+    for place, kind, regex, least in ((1, "access", "AKIA[A-Z0-9]+", 20), (2, "hex", "[0-9a-f]+", 24)):
+        found += [(m.start(), place, kind, m.end()) for m in re.finditer(regex, text) if len(m[0]) >= least]
+    return [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)]
+
+
 def test_secret_base_spans(spark, rows, odd, none):
     for r in secrets.op2_secret_scan(spark, DIR).collect():
-        text, spans = rows[r.doc_id].text or "", []
-        for k, (kind, regex) in enumerate(zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX), strict=True)):
-            spans += [(m.start(), k, kind, m.end()) for m in regex.finditer(text) if len(m[2] if kind == "assign" else m[0]) >= secrets.LEAST[kind]]
-        joined = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
-        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
-        assert r.n_assign == sum(s[2] == "assign" for s in spans)
-        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+        own = spans_by_the_rules(rows[r.doc_id].text or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(own).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in own) for k in ("assign", "access", "hex"))
+        assert set(own) <= set(r.spans.split(","))
     assert secrets.redacted(odd).columns == odd.columns and secrets.redacted(odd).count() == len(ODD)
     assert secrets.redacted(none).count() == 0
 
 
-def test_secret_grammar_and_redaction(spark):
-    rng = np.random.default_rng(3)
-    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
-    grammar = secrets.Grammar({"hex": hexes, "text": [f"ref-{i:04d}-section-name" for i in range(60)]})
-    assert grammar.is_secret("".join(rng.choice(list("0123456789abcdef"), 40))) and not grammar.is_secret("ref-0123-section-name")
+def test_secret_formats_outside_the_patterns(spark, docs):
+    """Planted credentials that no pattern knows are found, and ordinary tokens of documents never learned from are left alone."""
+    import random
+
+    chance = random.Random(4)
+    of = lambda letters, n: "".join(chance.choice(letters) for _ in range(n))
+    keys = [of("0123456789ABCDEFGHJKMNPQRSTVWXYZ", 26) for _ in range(120)]
+    learn = [(1000 + i, f"set token={k} for the job") for i, k in enumerate(keys[:60])] + [(2000 + i, f"{of('abcdefghijklmnopqrstuvwxyz', 7)} {of('0123456789', 16)} v{i}.2 foo_bar-{i} aGVs") for i in range(300)]
+    frame = lambda own: spark.createDataFrame(own, "doc_id long, text string")
+    grammar = secrets.fit(docs.select("doc_id", "text").union(frame(learn)))
+    long = of("0123456789ABCDEFGHJKMNPQRSTVWXYZ", 900)
+    planted = [(i, f"é the key {k} was here") for i, k in enumerate([*keys[60:], long])]
+    got = {r.doc_id: r for r in secrets.spans_of(frame(planted), grammar, "doc_id").collect()}
+    hit = [got[i].every == [(10, "format", 10 + len(t.split()[3]))] for i, t in planted]
+    assert np.mean(hit) > 0.9 and hit[-1] and not any(r.base for r in got.values())
+    free = secrets.spans_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), grammar, "doc_id").select(F.explode("every").alias("s")).where("s.kind = 'format'").count()
+    assert free == 0
+    tokens = [of("0123456789", 16), of("abcdefghijklmnopqrstuvwxyz", 60), "internationalization", "2024-01-01", "foo_bar-77"]
+    assert not any(grammar.is_secret(x.encode()) for x in tokens)
+
+
+def test_secret_scores_are_those_of_a_plain_walk():
+    """Scores side by side and the early bound against one automaton and token at a time, tokens of all lengths among them."""
+    import random
+
+    chance = random.Random(7)
+    of = lambda letters, n: "".join(chance.choice(letters) for _ in range(n)).encode()
+    values = {"hex": [of("0123456789abcdef", 40) for _ in range(50)], "assign": [of("xyz", chance.randint(3, 9)) + b"7" for _ in range(5)], "text": [of("etaoinshrdlu", chance.randint(1, 12)) for _ in range(500)]}
+    grammar = secrets.Grammar(values)
+    plain = [secrets.Automaton(values[k]) for k in ("text", "assign", "hex")]
+    tokens = [of("0123456789abcdefxyzT+", chance.choice([1, 2, 5, 20, 255, 256, 257, 700])) for _ in range(200)] + values["hex"][:5]
+    data, end = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([len(x) for x in tokens])
+    start = np.concatenate([[0], end[:-1]])
+    want = [plain[0].bits(x) - min(a.bits(x) for a in plain[1:]) for x in tokens]
+    assert np.allclose(grammar.gains(data, start, end), want, rtol=1e-4, atol=1e-2)
+    assert list(grammar.secrets(data, start, end)) == [w >= secrets.MARGIN for w in want] and any(w >= secrets.MARGIN for w in want)
+    assert not secrets.Grammar({}).is_secret(b"x") and not secrets.Grammar({"text": [b"a"]}).is_secret(b"x" * 99)
+
+
+def test_secret_merging_heeds_ends():
+    """Values of two fixed parts keep states of their own where the samples tell them apart."""
+    import random
+
+    chance = random.Random(1)
+    sample = [("".join(chance.choice("0123456789") for _ in range(3)) + "".join(chance.choice("ghijkl") for _ in range(4))).encode() for _ in range(2000)]
+    a = secrets.Automaton(sample)
+    assert len(a.end) >= 3 and a.bits(b"123ghij") < a.bits(b"ghij123") and a.bits(b"123ghij") < a.bits(b"123gh") + 12
+
+
+def test_secret_redaction(spark):
     df = spark.createDataFrame([(1, "é token = 'abcdef123' and AKIA" + "A1" * 10, 5)], "doc_id long, text string, n_chars long")
     got = secrets.redacted(df).first()
     assert got.text == "é [secret]' and [secret]" and got.n_chars == len(got.text)
@@ -131,10 +184,14 @@ def test_secret_rows_back_to_back(spark):
     """Texts that begin and end with tokens hide nothing from each other, in any order."""
     texts = ["abc", "0123456789abcdef" * 2, "", "AKIA" + "Z9" * 8, None, "é", "fedcba9876543210" * 2 + "x", "00", "password=hunter22", "x", "a0-" * 6]
     for own in (texts, texts[::-1]):
-        found = [(r, base) for r, _, base in secrets._scanned(pa.array(own))]
-        whole = {r: secrets.base_spans(t) for r, t in enumerate(own) if t}
-        assert {r: b for r, b in found if b} == {r: b for r, b in whole.items() if b}
-        assert {r for r, t in enumerate(own) if t and secrets.CANDIDATE.search(t)} <= {r for r, _ in found}
+        scan = secrets.Scan(pa.array(own))
+        at = np.array([f[1] for f in scan.base]), np.array([f[5] for f in scan.base]), np.array([f[0] for f in scan.base])
+        found = {}
+        for (r, _, _, kind, _, _), a, b in zip(scan.base, scan.points(at[0], at[2]).tolist(), scan.points(at[1], at[2]).tolist(), strict=True):
+            found.setdefault(r, []).append(f"{kind}:{a}:{b}")
+        assert found == {r: spans_by_the_rules(t) for r, t in enumerate(own) if t and spans_by_the_rules(t)}
+        free = [scan.raw[a:b].decode() for a, b in zip(scan.start, scan.end, strict=True)]
+        assert free == [t for t in own if t in ("abc", "00", "x", "a0-" * 6)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
     assert [r.text for r in secrets.redacted(df).orderBy("doc_id").collect()][:4] == ["abc", "[secret]", "", "[secret]"]
 
