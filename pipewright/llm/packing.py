@@ -1,14 +1,17 @@
 """Best-fit packing by a grouping genetic algorithm (operator 8).
 
-Documents become token pieces of at most a sequence's length. Islands of pieces evolve packings: an
-individual is a set of bins; crossover injects well-filled whole bins of one parent into
-the other, removes the bins that hold the same pieces, and best-fits the displaced ones. Each island
-keeps several populations, whose elites migrate in a ring. The well-filled bins of an island's
-best individual are final; pieces of its other bins move on to fewer islands, and so on, until one island is left.
+Documents become token pieces of at most a sequence's length, and pieces are dealt into regions of bounded size. Every region is
+evolved on ``ISLANDS`` islands, each a Spark task of its own: an individual is a set of bins, first from best-fitting
+pieces in random order; crossover injects well-filled whole bins of one parent into the other, removes the bins
+that hold the same pieces, exchanges displaced pieces for smaller ones of bins with room, and best-fits the rest. After each
+epoch the islands of a region send their elite individual to the next one in the ring. Of a region's last
+elites the best is taken: its well-filled bins are final, pieces of its other bins are dealt into fewer regions, and so
+on, until one region is left or bins no longer become fewer.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 import string
 import struct
@@ -25,8 +28,10 @@ from .scratch import Scratch, table
 from .wordhash import chunks
 
 LENGTH = 2048
-ISLAND = 4096  # pieces per island, about
-POPULATIONS, SIZE, GENERATIONS, MIGRATE = 2, 3, 6, 2
+REGION = 4096  # pieces per region, about
+ISLANDS, EPOCHS = 2, 2  # of each region
+SIZE, GENERATIONS = 6, 16  # individuals of an island, crossovers of an epoch
+DISSOLVED = 2  # emptiest bins, and as many chance ones, that each child gives up
 FULL = 0.99  # filling from which a bin is final
 _PUNCTUATION = string.punctuation
 END = b"\0\0\0\0"  # id 0 after each document
@@ -149,97 +154,147 @@ def best_fit(items: list[int], sizes: list[int], capacity: int, bins: list[list[
             open_ |= 1 << left
 
 
-def _individual(order: list[list[int]], sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+Individual = tuple[list[list[int]], list[int]]  # bins of item numbers, and each bin's room
+
+
+def exchange(displaced: list[int], sizes: list[int], bins: list[list[int]], room: list[int]) -> list[int]:
+    """Swap displaced pieces for one or two smaller pieces of a bin where that fills it better; the pieces then left over."""
+    displaced = sorted(displaced, key=sizes.__getitem__)
+    keys = [sizes[i] for i in displaced]
+    for k, own in enumerate(bins):
+        left = room[k]
+        if not left or not displaced:
+            continue
+        sets = [(i,) for i in own] + ([(i, j) for n, i in enumerate(own) for j in own[:n]] if len(own) <= 6 else [])
+        gain, at, out = 0, 0, ()
+        for some in sets:
+            size = sum(sizes[i] for i in some)
+            x = bisect.bisect_right(keys, size + left) - 1
+            if x >= 0 and keys[x] - size > gain:
+                gain, at, out = keys[x] - size, x, some
+        if gain:
+            bins[k] = [i for i in own if i not in out] + [displaced[at]]
+            room[k] -= gain
+            del displaced[at], keys[at]
+            for i in out:
+                x = bisect.bisect_left(keys, sizes[i])
+                keys.insert(x, sizes[i])
+                displaced.insert(x, i)
+    return displaced
+
+
+def fitness(x: Individual, capacity: int) -> float:
+    """Fewer bins first, then fuller ones."""
+    return sum(((capacity - r) / capacity) ** 2 for r in x[1]) / max(1, len(x[1])) - len(x[1])
+
+
+def random_individual(sizes: list[int], capacity: int, chance: random.Random) -> Individual:
+    """Pieces in random order, some at a time, best-fitted."""
     bins: list[list[int]] = []
     room: list[int] = []
-    for items in order:
-        best_fit(items, sizes, capacity, bins, room)
+    order = chance.sample(range(len(sizes)), len(sizes))
+    step = max(1, len(order) // 64)
+    for at in range(0, len(order), step):
+        best_fit(order[at : at + step], sizes, capacity, bins, room)
     return bins, room
 
 
-def _fitness(x: tuple[list[list[int]], list[int]], capacity: int) -> float:
-    return sum(((capacity - r) / capacity) ** 2 for r in x[1]) / max(1, len(x[1])) - len(x[1])
-
-
-def crossover(a, b, sizes: list[int], capacity: int, chance: random.Random):
-    """Inject well-filled bins of b into a, drop a's bins with the same pieces, best-fit what they alone held."""
-    full = [k for k, r in enumerate(b[1]) if r <= (1 - FULL) * capacity]
-    full = chance.sample(full, len(full) // 2) if len(full) > 1 else full
+def crossover(a: Individual, b: Individual, sizes: list[int], capacity: int, chance: random.Random) -> Individual:
+    """Inject well-filled bins of b into a, drop a's bins with the same pieces and some others, exchange and best-fit what they alone held."""
+    full = [k for k, r in enumerate(b[1]) if r <= (1 - FULL) * capacity] or sorted(range(len(b[1])), key=b[1].__getitem__)[: len(b[1]) // 4 + 1]
+    full = chance.sample(full, max(1, len(full) // 2))
     gained = {i for k in full for i in b[0][k]}
     bins, room, displaced = [b[0][k][:] for k in full], [b[1][k] for k in full], []
     for own, left in zip(*a, strict=True):
-        lost = [i for i in own if i not in gained]
-        if len(lost) == len(own):
+        if gained.isdisjoint(own):
             bins.append(own[:])
             room.append(left)
         else:
-            displaced += lost
-    best_fit(displaced, sizes, capacity, bins, room)
+            displaced += [i for i in own if i not in gained]
+    drop = set(sorted(range(len(room)), key=room.__getitem__)[-DISSOLVED:]) | {chance.randrange(len(bins)) for _ in range(DISSOLVED)}
+    displaced += [i for k in drop for i in bins[k]]
+    bins, room = [x for k, x in enumerate(bins) if k not in drop], [r for k, r in enumerate(room) if k not in drop]
+    best_fit(exchange(displaced, sizes, bins, room), sizes, capacity, bins, room)
     return bins, room
 
 
-def evolve(sizes: list[int], capacity: int, seed: int = 0) -> tuple[list[list[int]], list[int]]:
-    """The best packing found: bins of item numbers, and each bin's room. Stops early at the lower bound."""
-    chance = random.Random(seed)
+def evolve(population: list[Individual], sizes: list[int], capacity: int, chance: random.Random, generations: int = GENERATIONS, size: int = SIZE) -> Individual:
+    """The elite after ``generations`` crossovers; the population is filled up at random. Stops early at the lower bound."""
     least = -(-sum(sizes) // capacity)
-    items = list(range(len(sizes)))
-    best = _individual([items], sizes, capacity)
-    if len(best[0]) <= least:
-        return best
-    worlds = []
-    for _ in range(POPULATIONS):
-        own = [best]
-        while len(own) < SIZE:
-            first = chance.sample(items, len(items) // 8)
-            rest = set(first)
-            own.append(_individual([first, [i for i in items if i not in rest]], sizes, capacity))
-        worlds.append(own)
-    for generation in range(GENERATIONS):
-        for own in worlds:
-            a, b = chance.sample(own, 2)
-            own.append(crossover(a, b, sizes, capacity, chance))
-            own.sort(key=lambda x: -_fitness(x, capacity))
-            del own[SIZE:]
-            if len(own[0][0]) <= least:
-                return own[0]
-        if generation % MIGRATE == MIGRATE - 1:
-            for own, elite in zip(worlds, [w[0] for w in worlds[-1:] + worlds[:-1]], strict=True):
-                own[-1] = elite
-    return max((w[0] for w in worlds), key=lambda x: _fitness(x, capacity))
-
-
-_OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, final boolean"
-
-
-def _island(capacity: int, epoch: int):
+    rank = lambda x: -fitness(x, capacity)
+    own = population + [random_individual(sizes, capacity, chance) for _ in range(size - len(population))]
+    own.sort(key=rank)
+    for _ in range(generations):
+        if len(own[0][0]) <= least:
+            break
+        own.append(crossover(*chance.sample(own, 2), sizes, capacity, chance))
+        own.sort(key=rank)
+        del own[size:]
+    return own[0]
+
+
+_PIECE = ("doc_id long", "piece int", "start long", "length long", "ids_crc32 long")
+_STATE = ", ".join((*_PIECE, "pid long", "region long", "island int", "bin int", "offset long", "room long", "fit double"))
+
+
+def _island(capacity: int, level: int, epoch: int, generations: int, size: int):
+    """One epoch of one island: its own pieces and elite, and the elite that came from its neighbour."""
+
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        island = key[0].as_py()
-        group = group.drop_columns(["island"])
-        sizes = group.column("length").to_pylist()
-        bins, room = evolve(sizes, capacity, island * 31 + epoch)
-        sequence, offset, final = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
-        for k, own in enumerate(bins):
+        region, island = (k.as_py() for k in key)
+        guest = group.column("guest")
+        own = group.filter(pc.invert(guest)).sort_by("pid")
+        sizes, population = own.column("length").to_pylist(), []
+        for some in (own, group.filter(guest).sort_by("pid")):
+            if some.num_rows and not some.column("bin").null_count:
+                bins: dict[int, list[int]] = {}
+                for i, b in enumerate(some.column("bin").to_pylist()):
+                    bins.setdefault(b, []).append(i)
+                found = list(bins.values())
+                population.append((found, [capacity - sum(sizes[i] for i in x) for x in found]))
+        best = evolve(population, sizes, capacity, random.Random(f"{level}.{epoch}.{region}.{island}"), generations, size)
+        place, offset, room = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for k, (items, left) in enumerate(zip(*best, strict=True)):
             at = 0
-            for i in own:
-                sequence[i], offset[i], final[i] = (epoch << 56) + (island << 16) + k, at, room[k] <= (1 - FULL) * capacity
+            for i in items:
+                place[i], offset[i], room[i] = k, at, left
                 at += sizes[i]
-        return group.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("final", pa.array(final))
+        fit = np.full(len(sizes), fitness(best, capacity))
+        columns = [own.column(c.split()[0]) for c in (*_PIECE, "pid", "region", "island")]
+        return pa.table([*columns, pa.array(place), pa.array(offset), pa.array(room), pa.array(fit)], names=[c.split()[0] for c in _STATE.split(", ")])
 
     return run
 
 
-def pack(found: DataFrame, scratch: Scratch, length: int = LENGTH, island: int = ISLAND) -> DataFrame:
-    """``found`` (as from ``pieces``) with sequence_id and offset: where each piece lies, gapless from 0."""
-    rest, n, epoch, done = found, found.count(), 0, []
+def pack(found: DataFrame, scratch: Scratch, length: int = LENGTH, region: int = REGION, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, size: int = SIZE) -> DataFrame:
+    """``found`` (as from ``pieces``) with sequence_id and offset: where each piece lies, gapless from 0.
+
+    Which of equal pieces lies where is left to chance with fixed seeds.
+    """
+    rest, n, level, opened, done = found, found.count(), 0, None, []
     while True:
-        islands = max(1, -(-n // island))
-        dealt = rest.withColumn("island", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(islands)))
-        packed = scratch.keep(f"epoch-{epoch}", dealt.groupBy("island").applyInArrow(_island(length, epoch), _OUT))
-        left = packed.where("not final").count() if islands > 1 else 0
-        if islands == 1 or left > 0.9 * n:
+        regions = max(1, -(-n // region))
+        own = F.monotonically_increasing_id()
+        state = rest.withColumn("pid", own).withColumn("region", F.pmod(F.xxhash64("pid"), F.lit(regions)).cast("long"))
+        state = state.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).withColumn("bin", F.lit(None).cast("int"))
+        for epoch in range(epochs):
+            state = state.withColumn("guest", F.lit(False))
+            if epoch:  # migration: each island's elite to the next
+                rows = state.withColumn("island", (F.col("island") + 1) % islands).withColumn("guest", F.lit(True))
+                state = state.union(rows)
+            run = _island(length, level, epoch, generations, size)
+            state = scratch.keep(f"level-{level}-{epoch}", state.groupBy("region", "island").applyInArrow(run, _STATE))
+        best = state.groupBy("region").agg(F.max(F.struct("fit", "island")).alias("best")).select("region", F.col("best.island").alias("island"))
+        packed = state.join(best, ["region", "island"])
+        packed = packed.select(*(c.split()[0] for c in _PIECE), (F.lit(level << 56) + F.shiftleft("region", 16) + F.col("bin")).alias("sequence_id"), "offset", (F.col("room") <= (1 - FULL) * length).alias("final"))
+        packed = scratch.keep(f"level-{level}", packed)
+        for epoch in range(epochs):
+            scratch.drop(f"level-{level}-{epoch}")
+        left, bins = packed.where("not final").agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
+        if regions == 1 or not left or (opened is not None and bins > 0.99 * opened):
             return _union(done + [packed]).drop("final")
         done.append(packed.where("final"))
-        rest, n, epoch = packed.where("not final").drop("sequence_id", "offset", "final"), left, epoch + 1
+        rest, n, level, opened = packed.where("not final").drop("sequence_id", "offset", "final"), left, level + 1, bins
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -253,7 +308,7 @@ def packed_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> D
     """Every row's pieces with their places in sequences of at most ``length`` tokens.
 
     Null and empty texts are the one id 0. Repeated rows and ids are packed one by one; other columns are not read.
-    An empty table gives an empty result.
+    Texts are encoded whole, whatever their length. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     return pack(scratch.keep("pieces", pieces(docs, tokenizer, length)), scratch, length)
@@ -266,4 +321,5 @@ def vocabulary() -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packed_documents`` of the whole table; nulls and empty tables as there."""
     return packed_documents(table(spark, sf_dir, "documents"), vocabulary())

@@ -340,6 +340,53 @@ def test_packing(spark, docs, rows, odd, none):
     assert packing.packed_documents(none, packing.vocabulary()).count() == 0
 
 
+def test_packing_beats_best_fit():
+    """Triples that fill their bins exactly: largest-first best fit is far off, the genes come close to the known optimum."""
+    import random
+
+    chance, optimum = random.Random(5), 60
+    sizes = []
+    while len(sizes) < 3 * optimum:
+        a, b = chance.randint(513, 1023), chance.randint(513, 1023)
+        if 512 < 2048 - a - b < 1024:
+            sizes += [a, b, 2048 - a - b]
+    bins, room = [], []
+    packing.best_fit(list(range(len(sizes))), sizes, 2048, bins, room)
+    first = min(len(packing.random_individual(sizes, 2048, chance)[0]) for _ in range(12))
+    best = packing.evolve([], sizes, 2048, chance, 400, 12)
+    assert len(bins) >= 66 and first >= 64 and len(best[0]) <= 62
+    assert sorted(i for own in best[0] for i in own) == list(range(len(sizes)))
+    assert best[1] == [2048 - sum(sizes[i] for i in own) for own in best[0]] and min(best[1]) >= 0
+
+
+def test_packing_over_regions(spark):
+    """Several regions, islands and levels: every piece once, gapless, few sequences; pieces that never pair end the levels."""
+    from pipewright.llm.scratch import Scratch
+
+    rng = np.random.default_rng(3)
+    sizes = np.minimum(2048, rng.lognormal(6.3, 0.9, 3000).astype(int) + 1)
+    for own, most in ((sizes, -(-int(sizes.sum()) // 2048) + 2), (np.full(900, 1200), 900)):
+        df = spark.createDataFrame([(i, 0, 0, int(x), 0) for i, x in enumerate(own)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+        got = packing.pack(df, Scratch(spark, "packing-test"), region=256).toPandas()
+        assert sorted(got["doc_id"]) == list(range(len(own))) and got["sequence_id"].nunique() <= most
+        for _, seq in got.sort_values("offset").groupby("sequence_id"):
+            assert list(seq["offset"]) == [0, *np.cumsum(seq["length"])[:-1]] and seq["length"].sum() <= 2048
+
+
+def test_packing_elites_migrate():
+    """An island that gets its neighbour's better elite ends at least as well."""
+    import random
+
+    rng = random.Random(2)
+    sizes = [rng.randint(100, 900) for _ in range(120)]
+    own = packing.random_individual(sizes, 2048, rng)
+    elite = packing.evolve([], sizes, 2048, rng, 300)
+    rows = lambda x, guest: [{"doc_id": i, "piece": 0, "start": 0, "length": sizes[i], "ids_crc32": 0, "pid": i, "region": 4, "island": 1, "bin": k, "guest": guest} for k, b in enumerate(x[0]) for i in b]
+    table = pa.Table.from_pylist(rows(own, False) + rows(elite, True))
+    out = packing._island(2048, 0, 1, 0, 2)((pa.scalar(4), pa.scalar(1)), table)
+    assert out.num_rows == 120 and len(set(out.column("bin").to_pylist())) == len(elite[0]) <= len(own[0])
+
+
 def test_url_filter_candidates_are_enough(spark):
     index = url_filter.Index(url_filter.PATTERNS, url_filter.HOST_RULES, {})
     for url in ("http://x.spam-farm.example.org/en/1", "https://a.example.com/en/712?x", "http://EXAMPLE.net/de/8", None, "", "no scheme", "http://h.gov/ads/", "http://h/a?PHPSESSID=1"):
