@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lexer import QueryError
 from . import geometry as G
-from .values import NUMERIC, Val, need
+from .values import NUMERIC, Val, common, need
 
 
 def _kept(c: Column, where: Column | None) -> Column:
@@ -90,22 +90,24 @@ def aggregate(name: str, args: list[Val], star: bool, distinct: bool, where: Col
     return ONE[name](c, v)
 
 
-def window_function(name: str, args: list[Val]) -> Val:
+def window_function(name: str, args: list[Val], over) -> Val:
+    """A function of windows only; ``over`` puts a built-in over the window."""
     if name in ("row_number", "rank", "dense_rank"):
-        return Val(getattr(F, name)(), "number")
+        return Val(over(getattr(F, name)()), "number")
     if name == "ntile":
-        return Val(F.ntile(_count(args[0])), "number")
+        return Val(over(F.ntile(_count(args[0]))), "number")
     v = args[0]
     if name in ("first_value", "last_value"):
-        return Val((F.first if name == "first_value" else F.last)(v.col, ignorenulls=False), v.type)
+        return Val(over((F.first if name == "first_value" else F.last)(v.col, ignorenulls=False)), v.type)
     fn = F.lead if name == "lead" else F.lag
     n = _count(args[1]) if len(args) > 1 else 1
-    if len(args) > 2:
-        if not args[2].literal:
-            raise QueryError(f"the default of {name} must be a literal")
-        d = args[2].lit
-        return Val(fn(v.col, n, int(d) if v.type in NUMERIC and d == int(d) else d), v.type)
-    return Val(fn(v.col, n), v.type)
+    if len(args) < 3:
+        return Val(over(fn(v.col, n)), v.type)
+    v, default = common([v, args[2]])
+    if default.literal and v.type not in NUMERIC:
+        return Val(over(fn(v.col, n, default.lit)), v.type)
+    # a row that is there may hold null, so its presence is asked for apart
+    return Val(F.when(over(fn(F.lit(True), n)).isNull(), default.col).otherwise(over(fn(v.col, n))), v.type)
 
 
 def _count(v: Val) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -138,8 +139,19 @@ def substring(t: Val, start: Val, n: Val | None = None) -> Val:
     return Val(F.when(size < 0, F.raise_error(F.lit("negative substring length"))).otherwise(F.substr(_text(t), first, clip)), "text")
 
 
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcCcCcDdEeEeEeEeEeGgGgGgGgHhIiIiIiIiIJjKkLlLlLlNnNnNnOoOoOoRrRrRrSsSsSsSsTtTtUuUuUuUuUuUuWwYyYZzZzZz"
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽž"
+# Letters whose plain form no decomposition gives.
+_UNMARKED = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ł": "L", "ł": "l", "Ŧ": "T", "ŧ": "t", "Ð": "D", "ð": "d"}
+_SPELLED = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "TH", "þ": "th", "Ĳ": "IJ", "ĳ": "ij"}
+#: Marked Latin letters to their bases.
+_ACCENTS = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()} | _UNMARKED
+
+
+def unaccent(t: Val) -> Val:
+    marked = "".join(_ACCENTS)
+    c = F.translate(_text(t), marked, "".join(_ACCENTS.values()))
+    return Val(reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _SPELLED.items(), c), "text")
+
+
 REGISTRY |= {
     "#like": lambda t, p: _bool(_like(t, p)),
     "#not_like": lambda t, p: _bool(~_like(t, p)),
@@ -157,7 +169,7 @@ REGISTRY |= {
     "right_pad": lambda t, n, f: Val(F.rpad(_text(t), whole(n.col), _text(f)), "text"),
     "chr": lambda n: Val(F.decode(F.unhex(F.lpad(F.hex(whole(n.col)), 8, "0")), "UTF-32"), "text"),
     "split_part": lambda t, d, n: Val(F.split_part(_text(t), _text(d), whole(n.col)), "text"),
-    "unaccent": lambda t: Val(F.translate(_text(t), _MARKED[: len(_PLAIN)], _PLAIN[: len(_MARKED)]), "text"),
+    "unaccent": unaccent,
 }
 
 
@@ -317,7 +329,7 @@ def _temporal(op: str, a: Val, b: Val) -> Val | None:
         return Val(_time_of(_micros_of(a.col) + b.col["micros"] * sign), "time")
     if op == "+" and {a.type, b.type} == {"date", "time"}:
         d, t = (a, b) if a.type == "date" else (b, a)
-        return Val(F.make_timestamp_ntz(d.col, t.col), "floating_timestamp")
+        return Val(F.make_timestamp_ntz(date=d.col, time=t.col), "floating_timestamp")
     if op == "-" and a.type == b.type == "time":
         return Val(interval(0, 0, _micros_of(a.col) - _micros_of(b.col)), "interval")
     if op == "-" and a.type == b.type == "date":
@@ -427,6 +439,7 @@ REGISTRY |= {
     "area": lambda g: Val(G.area_(_geo(g).col), "double"),
     "distance_in_meters": lambda a, b: Val(G.distance_(_geo(a).col, _geo(b).col), "double"),
     "intersection": lambda a, b: Val(G.intersection_(_geo(a).col, _geo(b).col), "multipolygon"),
+    "concave_hull": lambda g, share: Val(G.concave_hull_(_geo(g).col, share.col.cast("double")), "multipolygon"),
     "convex_hull": lambda g: Val(G.convex_hull_(_geo(g).col), "multipolygon"),
     "location": _location,
     "location_latitude": lambda l: Val(G.native_xy(l.col["point"])[1], "double"),

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stem import stem
+
 # English stop words.
 STOP = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further "
@@ -15,34 +18,37 @@ STOP = (
     "ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were "
     "what when where which while who whom why will with you your yours yourself yourselves"
 ).split()
-#: Suffixes taken off in turn, the first that fits: a light stemmer, the same for texts and queries.
-SUFFIXES = (("sses", "ss"), ("ies", "i"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
-
-
-def stem(word: str) -> str:
-    for suffix, to in SUFFIXES:
-        if word.endswith(suffix) and len(word) - len(suffix) >= 3 and not word.endswith("ss" if suffix == "s" else "\0"):
-            word = word[: len(word) - len(suffix)] + to
-            break
-    return word[:-1] + "i" if word.endswith("y") and len(word) > 3 else word[:-1] if word.endswith("e") and len(word) > 3 else word
+_WORD = r"[\p{L}\p{N}]"
 
 
 def terms(query: str) -> list[str]:
     """Distinct stems of a query's words that are no stop words."""
-    return list(dict.fromkeys(stem(w) for w in re.findall(r"[a-z0-9]+", query.lower()) if w not in STOP))
+    return list(dict.fromkeys(stem(w) for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP))
+
 
+def _begins(term: str) -> str:
+    """What every word with this stem begins with: stemming changes two letters before the suffix at most."""
+    return term[: max(1, len(term) - 2)]
 
-def _pattern(term: str) -> str:
-    """Words whose stem is the term."""
-    base = re.escape(term)
-    stems = {base} | ({re.escape(term[:-1]) + "(?:y|ie)?"} if term.endswith("i") else set())
-    return rf"(?<![a-z0-9])(?:{'|'.join(sorted(stems))})e?(?:s|ing|ed|ly|ingly|edly|ies)?(?![a-z0-9])"
+
+def _has_all(own: tuple[str, ...]):
+    @F.pandas_udf("boolean")
+    def run(words: pd.Series) -> pd.Series:
+        return pd.Series([some is not None and set(own) <= set(map(stem, some)) for some in words], dtype=bool)
+
+    return run
 
 
 def matches(texts: list[Column], query: str) -> Column:
-    """Whether the texts together hold every term of the query; nulls count as empty."""
+    """Whether the texts together hold every term of the query; nulls count as empty.
+
+    Built-in expressions find the rows that hold a word with each term's beginning, and those words; only they are stemmed.
+    """
     own = terms(query)
     if not texts or not own:
         return F.lit(False)
     whole = F.lower(F.concat_ws(" ", *texts))
-    return reduce(lambda a, b: a & b, [whole.rlike(_pattern(t)) for t in own])
+    word = lambda parts: rf"(?<!{_WORD})(?:{'|'.join(parts)})"
+    begins = sorted({re.escape(_begins(t)) for t in own})
+    near = reduce(lambda a, b: a & b, [whole.rlike(word([b])) for b in begins])
+    return near & _has_all(tuple(own))(F.regexp_extract_all(whole, F.lit(f"({word(begins)}{_WORD}*)"), F.lit(1)))

@@ -192,8 +192,7 @@ class Env:
         star = bool(e.args) and isinstance(e.args[0], Star)
         args = [] if star else [self.eval(a) for a in e.args]
         if e.name in A.WINDOW_ONLY:
-            v = A.window_function(e.name, args)
-            return Val(v.col.over(w), v.type)
+            return A.window_function(e.name, args, lambda c: c.over(w))
         if e.name not in A.NAMES:
             raise QueryError(f"{e.name} is not a window function")
         where = self.eval(e.where).col if e.where is not None else None
@@ -304,15 +303,19 @@ class Planner:
         if s.of == "this":
             if current is None:
                 raise QueryError("@this has no input here")
-            return current.named(s.alias)
+            return self.fresh(current, s.alias)
         if s.of == "single_row":
             return Relation(self.ctx.spark.range(1).select(), [])
-        if s.of in self.named:  # fresh column names, so that one expression may be joined with itself
-            rel = self.named[s.of]
-            columns = [replace(c, table=s.alias or s.of, physical=f"c{next(_ids)}") for c in rel.columns]
-            return Relation(rel.df.select(*(F.col(a.physical).alias(b.physical) for a, b in zip(rel.columns, columns, strict=True))), columns)
+        if s.of in self.named:
+            return self.fresh(self.named[s.of], s.alias or s.of)
         return relation(self.ctx.tables(s.of), s.alias or s.of)
 
+    @staticmethod
+    def fresh(rel: Relation, alias: str | None) -> Relation:
+        """Under fresh column names, so that one expression may be joined with itself."""
+        columns = [replace(c, table=alias, physical=f"c{next(_ids)}") for c in rel.columns]
+        return Relation(rel.df.select(*(F.col(a.physical).alias(b.physical) for a, b in zip(rel.columns, columns, strict=True))), columns)
+
     def select(self, q: Select, current: Relation | None, outer: Env | None) -> Relation:
         if q.source is not None:
             rel = self.source(q.source, current)

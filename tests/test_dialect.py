@@ -3,6 +3,7 @@
 import pytest
 
 from pipewright.functions import geometry as G
+from pipewright.functions.stem import stem
 from pipewright.operators.views import Views, tables_of
 from pipewright.plans.lexer import QueryError
 from pipewright.plans.parser import parse
@@ -43,6 +44,23 @@ def test_search(engine):
     assert one(engine, "select v_max |> select v_max search 'x'") == []
 
 
+def test_stems():
+    """Pairs from the stemmer's published vocabulary."""
+    known = "consign consign consigned consign consistency consist knightly knight kneeling kneel knives knive generously generous happily happili relational relat hopefulness hope cries cri ties tie running run hoping hope hopping hop sky sky dying die news news proceed proceed sensibility sensibl digitizer digit conditional condit caresses caress gas gas kiwis kiwi luxuriated luxuri argument argument agreement agreement cooked cook communism communism skating skate controlling control".split()
+    assert {w: stem(w) for w in known[::2]} == dict(zip(known[::2], known[1::2], strict=True))
+
+
+def test_hulls_and_lines():
+    from pipewright.functions import hulls
+
+    points = [(float(x), float(y)) for x in range(5) for y in range(5) if (x, y) not in ((2, 4), (2, 3))]
+    assert sum(hulls._turn(*t) for t in hulls.triangulate(points)) / 2 == 16
+    ring = hulls.concave_hull(points, 0.0)
+    assert ring[0] == ring[-1] and len(set(ring)) == len(ring) - 1 and set(ring) <= set(points)
+    assert hulls.concave_hull([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], 0.5) == [] and len(hulls.concave_hull(points, 1.0)) >= 5
+    assert hulls.union_of_lines([[(0.0, 0.0), (4.0, 0.0)], [(1.0, 0.0), (2.0, 0.0)], [(4.0, 0.0), (0.0, 0.0)]]) == [[(0.0, 0.0), (1.0, 0.0)], [(1.0, 0.0), (2.0, 0.0)], [(2.0, 0.0), (4.0, 0.0)]]
+
+
 def test_errors(engine):
     for text in ("select nothing", "select coalesce(make, v_max)", "select make group by name", "select nofunction(make)", "select 'x"):
         with pytest.raises(QueryError):
