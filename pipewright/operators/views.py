@@ -6,8 +6,10 @@ side of a pipe, equals a fresh view's is answered from the view; of several, the
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from ..plans.ast import Item, Pipe, Select, SetOp, Source, Star, With
@@ -43,32 +45,37 @@ def tables_of(q, primary: str | None) -> set[str]:
 class Views:
     catalog: Catalog
 
-    def create(self, dataset: str, name: str, query: str, materialise: bool = True) -> None:
+    def create(self, dataset: str, name: str, query: str, force: bool = False) -> None:
+        """Record a view; it is built at once if the dataset is published, the view held data before, or it is forced."""
         tree = parse(query)
         if reads_clock(tree):
             raise QueryError("a view must not read the clock")
         meta = self.catalog.meta(dataset)
         self.catalog.apply(dataset, meta["version"] + 1, [("view_created", name, query, sorted(tables_of(tree, dataset)))])
-        if materialise:
+        published = any(c["stage"] == "published" for c in meta["copies"])
+        held = meta["views"].get(name, {}).get("path")
+        if force or published or held:
             self.refresh(dataset, name)
 
     def _versions(self, reads: list[str]) -> dict[str, str]:
-        return {t: self.catalog.copy(t)["path"] for t in reads}
+        return {t: self.catalog.state(t) for t in reads}
 
     def refresh(self, dataset: str, name: str) -> bool:
-        """Build a view if its inputs changed; a query that no longer resolves drops the view's data. Whether it was built."""
+        """Build a view if its inputs changed, else leave it where it is. Whether it was built.
+
+        A query that no longer resolves drops the view's data and leaves the reason in ``error``.
+        """
         meta = self.catalog.meta(dataset)
         view = meta["views"][name]
         seen = self._versions(view["reads"])
         if view["path"] and view.get("seen") == seen:
             return False
-        path = f"{self.catalog.root}/{dataset}/view-{name}-{meta['version']}-{abs(hash(tuple(seen.values()))) % 10**8}"
+        path, error = f"{self.catalog.root}/{dataset}/view-{name}-{meta['version']}-{uuid.uuid4().hex[:8]}", None
         try:
-            made = Planner(Context(self.catalog.spark, self.catalog.table, dataset)).query(parse(view["query"])).result()
-            made.write.mode("overwrite").parquet(path)
-        except QueryError:
-            path = None
-        view |= {"path": path, "seen": seen}
+            Planner(Context(self.catalog.spark, self.catalog.table, dataset)).query(parse(view["query"])).result().write.parquet(path)
+        except (QueryError, AnalysisException, KeyError) as x:
+            path, error = None, str(x)
+        view |= {"path": path, "seen": seen, "error": error}
         self.catalog._save(dataset, meta)
         return path is not None
 
@@ -81,8 +88,10 @@ class Views:
                     out.append((dataset, name))
         return out
 
-    def query(self, text: str, primary: str, **options) -> DataFrame:
-        """Run a query, from views where they match."""
+    def query(self, text: str, primary: str, view: str | None = None, **options) -> DataFrame:
+        """Run a query, from views where they match; or with a named view in place of the dataset."""
+        if view is not None:
+            return Planner(Context(self.catalog.spark, self.catalog.table, f"{primary}.{view}", **options)).query(parse(text)).result()
         tree = self.substitute(parse(text), primary)
         return Planner(Context(self.catalog.spark, self.catalog.table, primary, **options)).query(tree).result()
 
@@ -97,5 +106,3 @@ class Views:
         if isinstance(tree, Pipe):
             return Pipe(self.substitute(tree.left, primary), tree.right)
         return tree
-
-

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import conformance
+from . import conformance, stores
 from .planner import Engine
 
 _L, _O, _C, _P, _E = "lineitem", "orders", "customer", "part", "events"
@@ -124,8 +124,8 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, d, p=primary, t=text: engine(spark, d).query(t, p)) for name, (primary, text, _) in QUERIES.items()}
+    return {name: (lambda spark, d, p=primary, t=text: engine(spark, d).query(t, p)) for name, (primary, text, _) in QUERIES.items()} | {name: fn for name, (fn, _) in stores.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, _, sql) in QUERIES.items()}
+    return {name: sql for name, (_, _, sql) in QUERIES.items()} | {name: sql for name, (_, sql) in stores.QUERIES.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import hashlib
 import itertools
@@ -503,9 +504,15 @@ class Engine:
 
     def collect(self, text: str, primary: str | None = None, seconds: float | None = None, **options) -> list:
         """The rows of a query; its jobs are cancelled and TimeoutError raised after ``seconds``."""
-        df = self.query(text, primary, **options)
+        with self.limited(seconds):
+            return self.query(text, primary, **options).collect()
+
+    @contextlib.contextmanager
+    def limited(self, seconds: float | None):
+        """Jobs begun inside are cancelled, and TimeoutError is raised, after ``seconds``; None sets no limit."""
         if seconds is None:
-            return df.collect()
+            yield
+            return
         tag, late = f"q-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
@@ -516,7 +523,7 @@ class Engine:
         self.spark.sparkContext.addJobTag(tag)
         timer.start()
         try:
-            rows = df.collect()
+            yield
         except Exception as x:
             if late.is_set():
                 raise TimeoutError(f"the query took more than {seconds} s") from x
@@ -524,7 +531,10 @@ class Engine:
         finally:
             timer.cancel()
             self.spark.sparkContext.removeJobTag(tag)
-        return rows
+
+    def of_tree(self, tree, primary: str | None = None, **options) -> DataFrame:
+        """The result of a syntax tree."""
+        return Planner(Context(self.spark, self.tables, primary, **(self.options | options))).query(tree).result()
 
     def explain(self, text: str, primary: str | None = None, mode: str = "formatted") -> str:
         plan = self.query(text, primary)._jdf.queryExecution()

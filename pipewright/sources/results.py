@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
 import json
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -35,5 +35,10 @@ def cjson(df: DataFrame, data_version: int = 0, last_modified: str | None = None
     yield "]"
 
 
-def gzipped_cjson(df: DataFrame, **header) -> bytes:
-    return gzip.compress("\n".join(cjson(df, **header)).encode())
+def gzipped_cjson(df: DataFrame, **header) -> Iterator[bytes]:
+    """The same compressed, in chunks as the rows come."""
+    press = zlib.compressobj(wbits=31)
+    for line in cjson(df, **header):
+        if chunk := press.compress(line.encode() + b"\n"):
+            yield chunk
+    yield press.flush()

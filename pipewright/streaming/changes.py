@@ -25,8 +25,7 @@ def replay(stream: DataFrame, catalog: Catalog, dataset: str, checkpoint: str, *
             return
         last = df.withColumn("_n", F.row_number().over(Window.partitionBy(ID).orderBy(F.desc("seq")))).where("_n = 1").drop("_n", "seq")
         gone = F.coalesce(F.col("deleted"), F.lit(False))
-        catalog.apply(dataset, meta["version"] + 1, [("rows_changed", last.where(~gone).drop("deleted"), last.where(gone).select(ID))])
-        catalog._save(dataset, catalog.meta(dataset) | {"last_batch": number})
+        catalog.apply(dataset, meta["version"] + 1, [("rows_changed", last.where(~gone).drop("deleted"), last.where(gone).select(ID))], last_batch=number)
         views.refresh_for(dataset)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -25,7 +25,7 @@ def rows(df):
     return sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", examples.QUERIES)
+@pytest.mark.parametrize("name", examples.oracle_sql())
 def test_query(spark, duck, name):
     got = examples.queries()[name](spark, DIR).toPandas()
     want = duck.execute(examples.oracle_sql()[name]).df()
