@@ -21,9 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .scratch import table
+from .scratch import Scratch, table
 from .wordhash import buffers, chunks, hashes
 
 # Kinds in order, their patterns and least lengths.
@@ -35,6 +34,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 SAMPLE = 4000  # labelled values of each label that are learned from, smallest hashes first
+_BITS = 12  # of the hashes, by which the values are counted
 READ = 256  # bytes of a labelled value that are learned from; scoring reads all of a token
 ALPHA = 0.05
 MARGIN = 40.0  # bits: odds of 2 ** 40; some 10 to 15 random characters of a known format in ordinary prose
@@ -303,14 +303,23 @@ class Grammar:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """Learn from at most ``sample`` distinct values of each label, those with the smallest hashes (ties: the least value)."""
-    rows = labelled(docs, sample).distinct()
-    for by in (["label", F.pmod("h", F.lit(64))], ["label"]):
-        rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("h").bitwiseXOR(F.lit(-(2**63))), "value"))).where(F.col("i") <= sample)
-    values: dict[str, list[bytes]] = {}
-    for r in rows.select("label", "value").collect():
-        values.setdefault(r[0], []).append(bytes(r[1]))
-    return Grammar({k: sorted(v) for k, v in values.items()})
+    """Learn from at most ``sample`` distinct values of each label, those with the smallest hashes (ties: the least value).
+
+    The values are counted by their hashes' first bits; what lies below each label's cut reaches the driver: the sample and one
+    bucket's values at most.
+    """
+    rows = labelled(docs, sample).groupBy("label", "h").agg(F.min("value").alias("value"))
+    rows = Scratch(docs.sparkSession, "labelled").keep("values", rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - _BITS)))
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for label, bucket, n in sorted(rows.groupBy("label", "bucket").count().collect()):  # 2 ** _BITS buckets a label at most
+        sizes.setdefault(label, []).append((bucket, n))
+    near, values = F.lit(False), {}
+    for label, own in sizes.items():
+        sums = np.cumsum([n for _, n in own])
+        near = near | ((F.col("label") == label) & (F.col("bucket") <= own[min(int(np.searchsorted(sums, sample)), len(own) - 1)][0]))
+    for label, h, value, _ in rows.where(near).collect():
+        values.setdefault(label, []).append((h % (1 << 64), bytes(value)))
+    return Grammar({k: sorted(x for _, x in sorted(v)[:sample]) for k, v in values.items()})
 
 
 def spans_of(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
