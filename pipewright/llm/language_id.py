@@ -33,6 +33,7 @@ TOTAL = 64 * SYMBOLS  # labelled symbols of all languages: bounds the tables tha
 DOCUMENTS = 64  # labelled documents per language that reach the driver, smallest hashes first
 LETTERS = 60  # most frequent letters with a symbol of their own
 BLOCK = 512
+FEW = 96  # blocks that are cheaper to parse again one by one than side by side
 REJECT, SHORT = 0.9, 2.0  # rejected from REJECT + SHORT / sqrt(symbols) times the phrases of random letters
 
 
@@ -145,20 +146,29 @@ class Model:
             while len(redo):
                 now, old, at = state[i, redo - 1] >> 1, assumed[redo], redo
                 assumed[redo] = now
-                for step in range(BLOCK):
+                step = 0
+                while len(at) > FEW and step < BLOCK:
                     open_ = step < size[at]
                     state[i, at[~open_]] = now[~open_] << 1
                     at, now, old = at[open_], now[open_], old[open_]
-                    if not len(at):
-                        break
                     c = padded[begin[at] + step].astype(np.int32)
                     a, b = steps[now + c], steps[old + c]
                     counts[i, at] += (a & 1) - (b & 1)
                     now, old = a >> 1, b >> 1
                     apart = now != old
-                    at, now, old = at[apart], now[apart], old[apart]
-                else:
-                    state[i, at] = now << 1
+                    at, now, old, step = at[apart], now[apart], old[apart], step + 1
+                table = memoryview(steps)
+                for k, x, y in zip(at.tolist(), now.tolist(), old.tolist(), strict=True):  # the last few, such as texts of one word repeated
+                    more = 0
+                    for c in padded[begin[k] + step : begin[k] + size[k]].tolist():
+                        a, b = table[x + c], table[y + c]
+                        more += (a & 1) - (b & 1)
+                        x, y = a >> 1, b >> 1
+                        if x == y:
+                            break
+                    else:
+                        state[i, k] = x << 1
+                    counts[i, k] += more
                 redo = later[(state[i, later - 1] >> 1) != assumed[later]]
         out = np.zeros((len(self.langs), len(n)))
         for i, scale in enumerate(self.scale):
@@ -207,7 +217,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in chunks(batch, "_text", 4 << 20):
+            for part in chunks(batch, "_text"):
                 own = [_symbols(t, m.code) for t in pc.fill_null(part.column("_text"), "").to_pylist()]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
                 flat = np.concatenate([*own, np.zeros(0, np.uint8)])
@@ -239,6 +249,7 @@ def language_kept(docs: DataFrame) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``predict`` for the whole table, learned outside the held-out fold; nulls and empty tables as there."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, ~held_out(0))
     out = predict(docs.withColumn("held_out", held_out(0)), model, "doc_id", "held_out")
