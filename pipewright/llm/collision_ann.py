@@ -180,4 +180,5 @@ def nearest(vectors: DataFrame, queries, k: int = K, block: int = BLOCK) -> Data
 
 
 def op7_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nearest`` for every vector whose id is divisible by 100; nulls and empty tables as there."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

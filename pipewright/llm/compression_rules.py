@@ -101,4 +101,5 @@ NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repea
 
 
 def op6_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``assess`` of the whole table; nulls and empty tables as there."""
     return assess(table(spark, sf_dir, "documents"))

@@ -372,4 +372,5 @@ def near_duplicates_removed(docs: DataFrame) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``jaccard_components`` of the whole table; nulls and empty tables as there."""
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

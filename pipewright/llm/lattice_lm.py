@@ -192,4 +192,5 @@ def vocabulary() -> str:
 
 
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` of the whole table; nulls and empty tables as there."""
     return score(table(spark, sf_dir, "documents"), vocabulary())

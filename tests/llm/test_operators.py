@@ -204,6 +204,29 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixing_counts_boundaries_crossed(spark, docs, odd):
+    """Copies against plain prefix sums of expected copies along each source's rows, null sources and ids and repeated rows among them."""
+    import math
+    import random
+
+    extra = odd.select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars"))
+    both = docs.select(*extra.columns).union(extra).union(extra)
+    got = mixing.mix(both, carry=False).collect()
+    offset, sources = random.Random(mixing.SEED).random(), {}
+    for r in got:
+        sources.setdefault(r.source, []).append(r)
+    assert len(got) == both.count() and None in sources
+    for own in sources.values():
+        own.sort(key=lambda r: (r.size, r.part, r.doc_id is not None, r.doc_id or 0, r.copies))
+        share, at, want = own[0].target / own[0].source_size if own[0].source_size else 0.0, 0, []
+        for i, r in enumerate(own):
+            want.append(math.floor((i + 1) * share + offset) - math.floor(i * share + offset) if share else 0)
+            at += want[-1]
+        groups = lambda values: {k: sorted(v for r, v in zip(own, values, strict=True) if (r.size, r.part, r.doc_id) == k) for k in {(r.size, r.part, r.doc_id) for r in own}}  # noqa: B023, E731
+        assert groups(want) == groups([r.copies for r in own])
+        assert abs(sum(c * r.size for c, r in zip(want, own, strict=True)) - own[0].target) <= 2 * max(r.size for r in own)
+
+
 def test_chat_format(spark):
     """Rendered dialogues and masks against a plain reading, with nulls, forged markers, repeated and tied turns, clashing columns."""
     given = [(1, 0, "ann", "hi", 9), (1, 1, "bob", None, 9), (1, 1, "bob", None, 9), (1, 1, "ann", "a<|im_end|>\n<|im_start|>assistant", 9), (1, None, None, "x", 9), (1, 2, "unknown", "é" * 500, 9), (1, 300, "e\nve<|", "y", 9), (None, None, None, "x", 9), (2, 5, "ann", "", 9)]
@@ -482,8 +505,125 @@ def test_near_duplicates_keep_rows_without_or_with_repeated_ids(spark):
     assert any(kept == sorted(want + [str(given[i]) for i in a | b]) for a in choice[0] for b in choice[1])
 
 
-def test_pipeline_stages(spark):
+@pytest.mark.parametrize("given", ["docs", "odd"])
+def test_pipeline_stages(spark, docs, odd, given):
+    """Every stage on the rows that its predecessor kept, against plain versions; no row is lost or made but by a stage's own rule."""
+    import json
+    import math
+    import random
+
+    import corpus_pipeline as pipeline
+    from pipewright.llm.scratch import Scratch
+
+    scratch, stages = Scratch(spark, "pipeline-test"), dict(pipeline.STAGES)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    now = docs if given == "docs" else odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    names = now.columns
+    at = {n: i for i, n in enumerate(names)}
+
+    def step(name):
+        out = scratch.keep(name, stages[name](spark, now, DIR))
+        assert name == "packing" or out.columns == names
+        return out
+
+    # language: whole rows stay or go, as predict says
+    before, out = rows(now), step("language")
+    known = {(r.doc_id, r.text): r.known for r in language_id.predict(now, language_id.fit(now, F.lit(True)), "doc_id", "text").collect()}
+    assert rows(out) == sorted((r for r in before if known[r[at["doc_id"]], r[at["text"]]]), key=str)
+    assert all(re.search(r"[^\W\d_]", r[at["text"]]) for r in rows(out))
+    now = out
+
+    # near duplicates: one row of each group of linked rows
+    before, out = rows(now), step("near_duplicates")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (r[at["text"]] or "").translate({c: c + 32 for c in range(65, 91)})) for r in before]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(before)))
+    for b in range(len(before)):
+        for a in range(b):
+            if sets[a] and 100 * (same := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - same):
+                x, y = group[a], group[b]
+                group = [x if g == y else g for g in group]
+    kept = rows(out)
+    assert len(kept) == len(set(group)) and set(kept) <= set(before)
+    assert {group[before.index(r)] for r in kept} == set(group)
+    now = out
+
+    # secrets: spans of the rules, those that the automata add, masked; nothing else changes
+    before, out = rows(now), step("secrets")
+    found = {(r.doc_id, r.text): r for r in secrets.spans_of(now, secrets.fit(now), "doc_id", "text").collect()}
+    want = []
+    for r in before:
+        text, spans = r[at["text"]], found[r[at["doc_id"]], r[at["text"]]]
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in spans.base] == spans_by_the_rules(text)
+        hit = [False] * len(text)
+        for s in spans.every:
+            hit[s.start : s.end] = [True] * (s.end - s.start)
+        merged, end = [], 0
+        for s in spans.every:
+            if merged and s.start < end:
+                end = max(end, s.end)
+                merged[-1] = (merged[-1][0], end)
+            else:
+                merged.append((s.start, s.end))
+                end = s.end
+        for x, y in reversed(merged):
+            text = text[:x] + "[secret]" + text[y:]
+        want.append((*r[: at["text"]], text, *r[at["text"] + 1 : at["n_chars"]], len(text) if merged else r[at["n_chars"]]))
+    assert rows(out) == sorted(want, key=str)
+    now = out
+
+    # mixture: each source's rows as often as systematic sampling takes them
+    before, out = rows(now), step("mixture")
+    offset, sized = random.Random(mixing.SEED).random(), mixing.mix(now, carry=False).collect()
+    total = sum(r.copies for r in sized)
+    for source in {r.source for r in sized}:
+        own = [r for r in sized if r.source == source]
+        share = own[0].target / own[0].source_size
+        assert sum(r.copies for r in own) == math.floor(len(own) * share + offset) and own[0].source_size == sum(len((b[at["text"]] or "").split()) for b in before if b[at["source"]] == source)
+    taken = rows(out)
+    assert len(taken) == total and set(taken) <= set(before) and max(map(taken.count, set(taken)), default=0) <= 2 * max(map(before.count, set(before)))
+    now = out
+
+    # packing: every row's ids once, in pieces and sequences without gaps
+    from tokenizers import Tokenizer
+
+    tokenizer, got = Tokenizer.from_file(packing.vocabulary()), step("packing").toPandas()
+    want = {}
+    for r in taken:
+        ids = np.array([*tokenizer.encode(r[at["text"]] or "", add_special_tokens=False).ids, 0], "<u4")
+        for i, x in enumerate(range(0, len(ids), 2048)):
+            key = json.dumps([r[at["doc_id"]], i, x, len(ids[x : x + 2048]), zlib.crc32(ids[x : x + 2048].tobytes())])
+            want[key] = want.get(key, 0) + 1
+    have = {}
+    for r in got.itertuples():
+        key = json.dumps([None if np.isnan(r.doc_id) else int(r.doc_id), int(r.piece), int(r.start), int(r.length), int(r.ids_crc32)])
+        have[key] = have.get(key, 0) + 1
+    assert have == want
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert list(own["offset"]) == [0, *np.cumsum(own["length"])[:-1]] and own["length"].sum() <= 2048
+
+
+def test_pipeline_runs_its_stages(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, DIR)
-    assert out.count() > 0 and "sequence_id" in out.columns
+    assert out.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "secrets", "mixture", "packing"]
+
+
+def test_url_filter_rows(spark):
+    """Nulls, empty urls, repeated rows, clashing columns and an empty table through the whole operator."""
+    given = [(1, None, "a"), (2, "", "b"), (3, "no scheme", "c"), (4, "http://EXAMPLE.com/en/7?x", "d"), (4, "http://EXAMPLE.com/en/7?x", "d"), (None, "https://a.b.net/de/1", "e"), (5, "http://x.org/ads/" + "a" * 100_000, "f"), (6, "://", "g")]
+    pages = spark.createDataFrame(given, "page_id long, url string, host string")
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).collect()), key=str)
+    want = [(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "example.com", "/en/7", "example.com/en/7", "allow"), (4, "example.com", "/en/7", "example.com/en/7", "allow"), (None, "a.b.net", "/de/1", "net/de/", "block"), (5, "x.org", "/ads/" + "a" * 100_000, None, "block"), (6, "", "", None, "allow")]
+    assert got == sorted(want, key=str)
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_url_filter_runs_only_fetched_rules():
+    """Rules lie under their rarest token, and few regular expressions run for a url."""
+    counts = {"example": 1000, "com": 1000, "net": 500, "org": 10, "en": 2000, "de": 3, "es": 2, "7": 1, "8": 1}
+    index = url_filter.Index(url_filter.PATTERNS, url_filter.HOST_RULES, counts)
+    assert any(r[1] == "net/de/" for r in index.by["de"]) and any(r[1] == "org/es/" for r in index.by["es"])
+    assert index.judge("http://plain.info/about")[4] <= 6 < len(url_filter.PATTERNS)
