@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lexer import QueryError
 from . import geometry as G
-from .values import NUMERIC, Val, common, need
+from .values import NUMERIC, WHOLE, Val, common, need
 
 
 def _kept(c: Column, where: Column | None) -> Column:
@@ -55,9 +55,9 @@ def spatial(name: str, c: Column, v: Val, over=lambda x: x) -> Val:
 
 
 ONE = {
-    "max": lambda c, v: Val(F.max(F.to_json(c) if v.type == "json" else c), "text" if v.type == "json" else v.type),
-    "min": lambda c, v: Val(F.min(F.to_json(c) if v.type == "json" else c), "text" if v.type == "json" else v.type),
-    "sum": _numeric(F.sum, None),
+    "max": lambda c, v: Val(F.max(F.to_json(c) if v.type == "json" else c), "text" if v.type == "json" else v.type, integer=v.integer),
+    "min": lambda c, v: Val(F.min(F.to_json(c) if v.type == "json" else c), "text" if v.type == "json" else v.type, integer=v.integer),
+    "sum": lambda c, v: Val(F.sum(need(v, "number") and (c.cast(WHOLE) if v.integer else c)), v.type),
     "avg": _numeric(F.avg, None),
     "median": _median,
     "stddev_pop": _numeric(F.stddev_pop),
@@ -74,11 +74,11 @@ WINDOW_ONLY = {"row_number", "rank", "dense_rank", "first_value", "last_value",
 def aggregate(name: str, args: list[Val], star: bool, distinct: bool, where: Column | None) -> Val:
     if name == "count":
         if star:
-            return Val(F.count(_kept(F.lit(1), where)), "number")
+            return Val(F.count(_kept(F.lit(1), where)), "number", integer=True)
         v = args[0]
         c = F.when(v.col["url"].isNotNull() | v.col["description"].isNotNull(), F.lit(1)) if v.type == "url" and not distinct else v.col
         c = _kept(c, where)
-        return Val(F.countDistinct(c) if distinct else F.count(c), "number")
+        return Val(F.countDistinct(c) if distinct else F.count(c), "number", integer=True)
     if name in TWO:
         y, x = (_kept(a.col.cast("double"), where) for a in args)
         return Val(TWO[name](y, x), "double")

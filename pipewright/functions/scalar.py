@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lexer import QueryError
 from . import geometry as G
-from .values import GEOMETRY, NUMERIC, Val, agree, cast, common, interval, literal, need, number_text, text_of, whole
+from .values import GEOMETRY, NUMERIC, WHOLE, Val, agree, cast, common, interval, literal, need, number_text, text_of, whole
 
 STAMPS = ("fixed_timestamp", "floating_timestamp")
 REGISTRY: dict[str, object] = {}
@@ -174,27 +174,32 @@ REGISTRY |= {
 
 
 # -- numbers
-def _pair(op):
+def _pair(op, integers: str | None = None):
+    """An operation of two numbers; ``integers`` is the type that two integers take first, so that the result fits."""
+
     def run(a: Val, b: Val) -> Val:
         a, b = agree(a, b)
         kind = "double" if "double" in (a.type, b.type) else "number"
-        return Val(op(need(a, "number").col, need(b, "number").col), kind)
+        x, y = need(a, "number"), need(b, "number")
+        both = x.integer and y.integer and integers is not None
+        l, r = (x.col.cast(integers), y.col.cast(integers)) if both else (x.col, y.col)
+        return Val(op(l, r), kind, integer=both and integers == "long")
 
     return run
 
 
 def _same(fn):
-    return lambda v: Val(fn(need(v, "number").col), v.type if v.type in NUMERIC else "number")
+    return lambda v: Val(fn(need(v, "number").col), v.type if v.type in NUMERIC else "number", integer=v.integer)
 
 
 @define("#+")
 def plus(a: Val, b: Val) -> Val:
-    return _temporal("+", a, b) or _pair(lambda x, y: x + y)(a, b)
+    return _temporal("+", a, b) or _pair(lambda x, y: x + y, "long")(a, b)
 
 
 @define("#-")
 def minus(a: Val, b: Val) -> Val:
-    return _temporal("-", a, b) or _pair(lambda x, y: x - y)(a, b)
+    return _temporal("-", a, b) or _pair(lambda x, y: x - y, "long")(a, b)
 
 
 @define("round")
@@ -207,8 +212,8 @@ def round_(x: Val, n: Val | None = None) -> Val:
 
 
 REGISTRY |= {
-    "#*": _pair(lambda a, b: a * b),
-    "#%": _pair(lambda a, b: a % b),
+    "#*": _pair(lambda a, b: a * b, WHOLE),
+    "#%": _pair(lambda a, b: a % b, "long"),
     "#^": lambda a, b: Val(F.pow(need(a, "number").col, need(b, "number").col), "double"),
     "#neg": _same(lambda c: -c),
     "ln": lambda x: Val(F.when(need(x, "number").col <= 0, F.raise_error(F.lit("logarithm of a number that is not positive"))).otherwise(F.ln(x.col)), "double"),

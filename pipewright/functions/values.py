@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..plans.lexer import QueryError
 
 NUMERIC = ("number", "double")
+WHOLE = "decimal(38,0)"  # products and sums of integers, which 64 bits may not hold
 GEOMETRY = ("point", "multipoint", "line", "multiline", "polygon", "multipolygon")
 DECIMAL = "decimal(38,18)"
 ROW_TAGS = {"row_identifier": "row", "row_version": "rv"}
@@ -22,12 +23,13 @@ SYSTEM_KINDS = {":id": "row_identifier", ":version": "row_version"}
 
 @dataclass
 class Val:
-    """A column with its type; ``lit`` holds a literal's value, if it is one."""
+    """A column with its type; ``lit`` holds a literal's value, if it is one; ``integer`` marks numbers that Spark keeps as integers."""
 
     col: Column
     type: str
     lit: object = None
     literal: bool = False
+    integer: bool = False
 
     @property
     def text(self) -> bool:
@@ -41,7 +43,7 @@ def literal(value) -> Val:
         return Val(F.lit(value), "boolean", value, True)
     if isinstance(value, Decimal):
         whole = value == value.to_integral_value() and abs(value) < 2**63
-        return Val(F.lit(int(value)) if whole else F.lit(value), "number", value, True)
+        return Val(F.lit(int(value)) if whole else F.lit(value), "number", value, True, whole)
     return Val(F.lit(value), "text", value, True)
 
 

@@ -34,7 +34,8 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "pred_ranges": (_O, "select o_orderkey where o_totalprice not between 1000 and 200000 and o_orderpriority not in ('1-URGENT', '5-LOW') and o_totalprice >= 500 and o_orderstatus == 'F' and o_custkey != 3", "select o_orderkey from orders where o_totalprice not between 1000 and 200000 and o_orderpriority not in ('1-URGENT', '5-LOW') and o_totalprice >= 500 and o_orderstatus = 'F' and o_custkey <> 3"),
     "pred_caseless": (_C, "select c_custkey, caseless_one_of(c_mktsegment, 'building', 'Machinery') as a, caseless_not_one_of(c_mktsegment, 'building') as b, caseless_ne(c_mktsegment, 'building') as c, caseless_starts_with(c_name, 'cUSTOMER#00000000') as d", "select c_custkey, c_mktsegment in ('BUILDING', 'MACHINERY') as a, c_mktsegment <> 'BUILDING' as b, c_mktsegment <> 'BUILDING' as c, starts_with(c_name, 'Customer#00000000') as d from customer"),
     "pred_like_wildcards": (_N, "select n_nationkey where n_name like 'NATION__' and n_name like '%1%'", "select n_nationkey from nation where n_name like 'NATION__' and n_name like '%1%'"),
-    "number_operators": (_L, "select l_orderkey, l_linenumber, l_orderkey / 7 as a, l_quantity / 3 as b, l_quantity % 7 as c, l_quantity ^ 2 as d, +l_quantity as e, l_linenumber * 2 as f", "select l_orderkey, l_linenumber, l_orderkey / 7 as a, l_quantity / 3 as b, l_quantity % 7 as c, pow(l_quantity, 2) as d, l_quantity as e, l_linenumber * 2 as f from lineitem"),
+    "number_operators": (_L, "select l_orderkey, l_linenumber, l_orderkey / 7 as a, l_quantity / 3 as b, l_quantity % 7 as c, l_quantity ^ 2 as d, +l_quantity as e, (l_linenumber * 2)::text as f, (l_orderkey * 100000 * 1000000000 * 1000000000)::text as g", "select l_orderkey, l_linenumber, l_orderkey / 7 as a, l_quantity / 3 as b, l_quantity % 7 as c, pow(l_quantity, 2) as d, l_quantity as e, (l_linenumber * 2)::VARCHAR as f, (l_orderkey::HUGEINT * 100000 * 1000000000 * 1000000000)::VARCHAR as g from lineitem"),
+    "number_sums": (_L, "select l_returnflag, sum(l_orderkey * 1000000000000000)::text as a, sum(l_linenumber)::text as b, sum(distinct l_linenumber)::text as c, (count(*) * 10000000000000000000)::text as d group by l_returnflag", "select l_returnflag, sum(l_orderkey::HUGEINT * 1000000000000000)::HUGEINT::VARCHAR as a, sum(l_linenumber)::VARCHAR as b, sum(distinct l_linenumber)::VARCHAR as c, (count(*)::HUGEINT * 10000000000000000000)::VARCHAR as d from lineitem group by l_returnflag"),
     "text_trim_accents": (_P, "select p_partkey, trim_leading('  ' || p_brand || ' ') as a, trim_trailing(' ' || p_brand || '  ') as b, unaccent('Ünïß' || p_brand || 'çÉøñ') as c", "select p_partkey, p_brand || ' ' as a, ' ' || p_brand as b, 'Uniss' || p_brand || 'cEon' as c from part"),
     # dates, times, intervals
     "date_type_parts": (_O, "select o_orderkey, o_orderdate.date as d |> select o_orderkey, date_trunc_ymd(d)::text as td, date_trunc_ym(d)::text as tm, date_trunc_y(d)::text as ty, date_extract_y(d) as y, date_extract_m(d) as m, date_extract_d(d) as dd, date_extract_dow(d) as w, date_extract_woy(d) as k, date_extract_iso_y(d) as iy, d.year as y2, d.month as m2, d.day as d2, d.day_of_week as w2, d.week_of_year as k2, d.iso_year as iy2", "select o_orderkey, d::VARCHAR as td, date_trunc('month', d)::DATE::VARCHAR as tm, date_trunc('year', d)::DATE::VARCHAR as ty, year(d)::INT as y, month(d)::INT as m, day(d)::INT as dd, extract(dow from d)::INT as w, week(d)::INT as k, isoyear(d)::INT as iy, year(d)::INT as y2, month(d)::INT as m2, day(d)::INT as d2, extract(dow from d)::INT as w2, week(d)::INT as k2, isoyear(d)::INT as iy2 from (select o_orderkey, o_orderdate::DATE as d from orders)"),
@@ -52,7 +53,7 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "cast_opaque": (_N, "select n_nationkey, n_name::blob::text as a, n_name::photo::text as b, 'yes'::boolean as c, (n_nationkey::text)::number + 0.5 = n_nationkey + 0.5 as d", "select n_nationkey, n_name as a, n_name as b, true as c, true as d from nation"),
     "row_ids": ("numbered", "select :id::text as i, :version::text as v, n_name where :id in ('row-3', 'row-5') or :version = 'rv-70' or :id = 'row-9'::row_identifier or :version = 'rv-10'::row_version", "select 'row-' || n_nationkey as i, 'rv-' || n_nationkey * 10 as v, n_name from nation where n_nationkey in (1, 3, 5, 7, 9)"),
     "system_columns": ("numbered", "select @n.:id as a, @n.n_name join @numbered as n on :id = @n.:id where :id > 20", "select n_nationkey::BIGINT as a, n_name from nation where n_nationkey > 20"),
-    "unreserved_alias": ("numbered", "select count(*) as rows, max(order) as first, min(order) as following, sum(order) as partition", "select count(*) as rows, max(n_regionkey) as first, min(n_regionkey) as following, sum(n_regionkey) as partition from nation"),
+    "unreserved_alias": ("numbered", "select count(*) as rows, max(order) as first, min(order) as following, sum(order)::text as partition", "select count(*) as rows, max(n_regionkey) as first, min(n_regionkey) as following, sum(n_regionkey)::VARCHAR as partition from nation"),
     # JSON, documents, urls
     "json_parts": (_E, "select event_id, props::json as j |> select event_id, j.k::text as k, j.none::text as n, j::text as t, '[\"a\", {\"b\": 5}]'::json[0]::text as a, '[\"a\", {\"b\": 5}]'::json[1].b::text as b", "select event_id, (props::JSON->>'$.k') as k, NULL::VARCHAR as n, replace(props, ' ', '') as t, '\"a\"' as a, '5' as b from events"),
     "document_parts": ("files", "select n_nationkey, file.filename as a, file.file_id as b, file.content_type as c, file is null as d", "select n_nationkey, case when n_nationkey > 0 then n_name || '.pdf' end as a, case when n_nationkey > 0 then 'id-' || n_nationkey end as b, case when n_nationkey > 0 then 'application/pdf' end as c, n_nationkey = 0 as d from nation"),
@@ -80,7 +81,7 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "geo_aggregates": (_N, "select n_regionkey, extent(point(n_nationkey, n_regionkey))::text as e, spatial_union(point(n_nationkey, n_regionkey))::text as u group by n_regionkey", "select n_regionkey, 'MULTIPOLYGON (((' || x || ' ' || lo || ', ' || x || ' ' || hi || ', ' || x || ' ' || hi || ', ' || x || ' ' || lo || ', ' || x || ' ' || lo || ')))' as e, 'MULTIPOINT (' || u || ')' as u from (select n_regionkey, n_regionkey as x, min(n_nationkey) as lo, max(n_nationkey) as hi, string_agg('(' || n_regionkey || ' ' || n_nationkey || ')', ', ' order by n_nationkey) as u from nation group by n_regionkey)"),
     "geo_aggregate_areas": (_N, "select n_regionkey, spatial_union(('POLYGON ((' || n_nationkey || ' 0, ' || (n_nationkey + 30) || ' 0, ' || (n_nationkey + 30) || ' 1, ' || n_nationkey || ' 1, ' || n_nationkey || ' 0))')::polygon)::text as u, num_points(spatial_union(('LINESTRING (0 ' || n_nationkey || ', 1 ' || n_nationkey || ')')::line)) as n group by n_regionkey", "select n_regionkey, 'MULTIPOLYGON (((' || r || ' 0, ' || array_to_string(list_transform([0, 5, 10, 15, 20, 30, 35, 40, 45, 50], lambda x: (r + x) || ' 1'), ', ') || ', ' || array_to_string(list_transform([50, 45, 40, 35, 30, 20, 15, 10, 5, 0], lambda x: (r + x) || ' 0'), ', ') || ')))' as u, 10 as n from (select n_regionkey, min(n_nationkey) as r from nation group by n_regionkey)"),
     # windows, sets, sources
-    "window_empty": (_N, "select n_nationkey, count(*) over () as n, max(n_nationkey) over () as m, sum(n_regionkey) over () as s", "select n_nationkey, count(*) over () as n, max(n_nationkey) over () as m, sum(n_regionkey) over () as s from nation"),
+    "window_empty": (_N, "select n_nationkey, count(*) over () as n, max(n_nationkey) over () as m, (sum(n_regionkey) over ())::text as s", "select n_nationkey, count(*) over () as n, max(n_nationkey) over () as m, (sum(n_regionkey) over ())::VARCHAR as s from nation"),
     "window_offsets": (_O, "select o_orderkey, lead(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as a, lag(o_totalprice, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) as b, lag(o_totalprice, 1, o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as c, lead(o_orderstatus, 3, o_orderpriority) over (partition by o_custkey order by o_orderdate, o_orderkey) as d, lag(o_totalprice, 3, -1) over (partition by o_custkey order by o_orderdate, o_orderkey) as e", "select o_orderkey, lead(o_totalprice) over w as a, lag(o_totalprice, 2) over w as b, lag(o_totalprice, 1, o_orderkey) over w as c, lead(o_orderstatus, 3, o_orderpriority) over w as d, lag(o_totalprice, 3, -1) over w as e from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)"),
     "window_distinct": (_O, "select o_orderkey, count(distinct o_orderstatus) over (partition by o_custkey) as n, median_disc(o_totalprice) over (partition by o_custkey) as m", "select o_orderkey, n, m from orders join (select o_custkey, count(distinct o_orderstatus) as n, quantile_disc(o_totalprice, 0.5) as m from orders group by o_custkey) using (o_custkey)"),
     "set_intersect_all": (_C, "select c_nationkey as k intersect all select s_nationkey as k from @supplier", "select c_nationkey as k from customer intersect all select s_nationkey from supplier"),
@@ -90,7 +91,7 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "from_single_row": (None, "select 1 as one, 'x' as t from @single_row", "select 1 as one, 'x' as t"),
     "join_single_row": (_N, "select n_name, @s.two join (select 2 as two from @single_row) as s on true", "select n_name, 2 as two from nation"),
     "from_this": (_N, "select n_name, n_regionkey where n_nationkey > 3 |> select @t.n_name, @o.n_name as other from @this as t join @this as o on @t.n_regionkey = @o.n_regionkey", "select a.n_name, b.n_name as other from (select * from nation where n_nationkey > 3) a join (select * from nation where n_nationkey > 3) b on a.n_regionkey = b.n_regionkey"),
-    "from_values": (None, "values (1, 'a'), (2, null), (3, 'c') |> select column_1, column_2, column_1 * 2 as d", "select column_1, column_2, column_1 * 2 as d from (values (1, 'a'), (2, NULL), (3, 'c')) t(column_1, column_2)"),
+    "from_values": (None, "values (1, 'a'), (2, null), (3, 'c') |> select column_1, column_2, (column_1 * 2)::text as d", "select column_1, column_2, (column_1 * 2)::VARCHAR as d from (values (1, 'a'), (2, NULL), (3, 'c')) t(column_1, column_2)"),
     "from_with": (_N, "with @big as (select c_nationkey, count(*) as n from @customer group by c_nationkey) select n_name, @b.n join @big as b on n_nationkey = @b.c_nationkey", "select n_name, n from nation join (select c_nationkey, count(*) as n from customer group by 1) on n_nationkey = c_nationkey"),
     "automatic_names": (_N, "select count(n_name), max(n_nationkey)::text, n_regionkey group by n_regionkey", "select count(n_name) as count_n_name, max(n_nationkey)::VARCHAR as max_n_nationkey_text, n_regionkey from nation group by n_regionkey"),
     "clauses_order": (_N, "select n_name order by n_name offset 3 limit 4", "select n_name from nation order by n_name limit 4 offset 3"),

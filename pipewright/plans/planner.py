@@ -20,7 +20,7 @@ from ..functions import aggregate as A
 from ..functions import scalar as S
 from ..functions import search
 from ..functions.obfuscate import clear, obfuscated
-from ..functions.values import ROW_TAGS, Val, cast, literal, need, type_of
+from ..functions.values import DECIMAL, ROW_TAGS, Val, cast, literal, need, type_of
 from .ast import Call, Cast, Field, Item, Lit, Over, Pipe, Ref, Select, SetOp, Sort, Source, Star, Values, With, name_of
 from .lexer import QueryError
 from .parser import parse
@@ -36,6 +36,7 @@ class Output:
     name: str
     physical: str
     type: str
+    integer: bool = False
 
 
 @dataclass
@@ -51,10 +52,16 @@ class Relation:
         return self.df.select(*(F.col(c.physical).alias(c.name, metadata={"kind": c.type}) for c in self.columns))
 
 
-def relation(df: DataFrame, alias: str | None = None) -> Relation:
-    """A DataFrame under fresh column names, so that no join is ambiguous."""
-    columns = [Output(alias, f.name, f"c{next(_ids)}", type_of(f)) for f in df.schema]
-    return Relation(df.select(*(F.col(f"`{f.name}`").alias(c.physical) for f, c in zip(df.schema, columns, strict=True))), columns)
+def relation(df: DataFrame, alias: str | None = None, exact: bool = False) -> Relation:
+    """A DataFrame under fresh column names, so that no join is ambiguous; with ``exact``, floating-point columns become decimals."""
+    columns, cols = [], []
+    for f in df.schema:
+        kind, c = type_of(f), F.col(f"`{f.name}`")
+        if exact and kind == "double":
+            kind, c = "number", c.cast(DECIMAL)
+        columns.append(Output(alias, f.name, f"c{next(_ids)}", kind, isinstance(f.dataType, T.IntegralType) and kind == "number"))
+        cols.append(c.alias(columns[-1].physical))
+    return Relation(df.select(*cols), columns)
 
 
 @dataclass
@@ -67,6 +74,7 @@ class Context:
     variables: dict[str, str] = field(default_factory=dict)
     now: datetime.datetime = field(default_factory=lambda: datetime.datetime.now(datetime.timezone.utc).replace(microsecond=0))
     case_sensitive: bool = True
+    exact: bool = False  # floating-point columns of tables count as decimals
     obfuscation_key: bytes | None = None  # without one, row ids and versions read row-<n> and rv-<n>
 
 
@@ -83,7 +91,7 @@ class Env:
         hits = [c for c in self.columns if c.name == ref.name and (ref.table is None or c.table == ref.table)]
         if len(hits) > 1 and ref.table is None:
             hits = hits[:1]
-        return Val(F.col(hits[0].physical), hits[0].type) if hits else None
+        return Val(F.col(hits[0].physical), hits[0].type, integer=hits[0].integer) if hits else None
 
     def resolve(self, ref: Ref) -> Val:
         v = self.find(ref)
@@ -100,7 +108,7 @@ class Env:
         if self.outer is not None:
             hits = [c for c in self.outer.columns if c.name == ref.name and (ref.table is None or c.table == ref.table)]
             if hits:
-                return Val(F.col(hits[0].physical).outer(), hits[0].type)
+                return Val(F.col(hits[0].physical).outer(), hits[0].type, integer=hits[0].integer)
         raise QueryError(f"no such column: {ref.name}")
 
     def eval(self, e) -> Val:
@@ -175,7 +183,7 @@ class Env:
             v = A.aggregate(e.name, [] if star else [inner.eval(a) for a in e.args], star, e.distinct, where)
             self.aggregates[e] = (f"a{next(_ids)}", v)
         name, v = self.aggregates[e]
-        return Val(F.col(name), v.type)
+        return Val(F.col(name), v.type, integer=v.integer)
 
     def spec(self, over: Over):
         w = Window.partitionBy(*(self.eval(p).col for p in over.partition))
@@ -209,7 +217,7 @@ class Env:
         if e.name in ("extent", "spatial_union"):
             return A.spatial(e.name, A._kept(args[0].col, where), args[0], lambda c: c.over(w))
         v = A.aggregate(e.name, args, star, e.distinct, where)
-        return Val(v.col.over(w), v.type)
+        return Val(v.col.over(w), v.type, integer=v.integer)
 
 
 def sort_column(env: Env, s: Sort) -> Column:
@@ -281,7 +289,8 @@ class Planner:
         if len({len(row) for row in vals}) != 1:
             raise QueryError("rows of values differ in length")
         kinds = [next((v.type for v in column if not (v.literal and v.lit is None)), "text") for column in zip(*vals, strict=True)]
-        columns = [Output(None, f"column_{i + 1}", f"c{next(_ids)}", k) for i, k in enumerate(kinds)]
+        whole = [all(v.integer for v in column) for column in zip(*vals, strict=True)]
+        columns = [Output(None, f"column_{i + 1}", f"c{next(_ids)}", k, w) for i, (k, w) in enumerate(zip(kinds, whole, strict=True))]
         made = F.array(*(F.struct(*(cast(v, c.type).col.alias(c.physical) for v, c in zip(row, columns, strict=True))) for row in vals))
         return Relation(one.select(F.inline(made)), columns)
 
@@ -296,7 +305,7 @@ class Planner:
             "union": lambda: l.union(r).distinct(), "union all": lambda: l.unionAll(r), "intersect": lambda: l.intersect(r), "intersect all": lambda: l.intersectAll(r),
             "minus": lambda: l.subtract(r), "minus all": lambda: l.exceptAll(r),
         }[kind]()
-        return Relation(made, a.columns)
+        return Relation(made, [replace(x, integer=x.integer and y.integer) for x, y in zip(a.columns, b.columns, strict=True)])
 
     def source(self, s: Source, current: Relation | None, outer: Env | None = None) -> Relation:
         if not isinstance(s.of, str):
@@ -309,7 +318,7 @@ class Planner:
             return Relation(self.ctx.spark.range(1).select(), [])
         if s.of in self.named:
             return self.fresh(self.named[s.of], s.alias or s.of)
-        return relation(self.ctx.tables(s.of), s.alias or s.of)
+        return relation(self.ctx.tables(s.of), s.alias or s.of, self.ctx.exact)
 
     @staticmethod
     def fresh(rel: Relation, alias: str | None) -> Relation:
@@ -323,7 +332,7 @@ class Planner:
         elif current is not None:
             rel = current
         elif self.ctx.primary is not None:
-            rel = relation(self.ctx.tables(self.ctx.primary), self.ctx.primary)
+            rel = relation(self.ctx.tables(self.ctx.primary), self.ctx.primary, self.ctx.exact)
         else:
             rel = Relation(self.ctx.spark.range(1).select(), [])
         for j in q.joins:
@@ -376,10 +385,10 @@ class Planner:
         keys = [e for e in wanted if not is_constant(e)]
         plain = Env(self.ctx, env.columns, env.aliases, env.outer)
         vals = [(e, f"k{next(_ids)}", plain.eval(e)) for e in keys or wanted]
-        env.keys = {e: Val(F.col(n), v.type) for e, n, v in vals}
+        env.keys = {e: Val(F.col(n), v.type, integer=v.integer) for e, n, v in vals}
         for e, n, v in vals:
             if isinstance(e, Ref):  # a key may be named with or without its table
-                env.keys |= {Ref(c.name, t): Val(F.col(n), v.type) for c in env.columns if c.name == e.name and e.table in (None, c.table) for t in (None, c.table)}
+                env.keys |= {Ref(c.name, t): Val(F.col(n), v.type, integer=v.integer) for c in env.columns if c.name == e.name and e.table in (None, c.table) for t in (None, c.table)}
         for i in items:
             env.eval(i.expr)
         for s in q.order:
@@ -400,7 +409,7 @@ class Planner:
 
     def finish(self, q: Select, items: list[Item], df: DataFrame, env: Env, grouped: bool = False) -> Relation:
         vals = [env.eval(i.expr) for i in items]
-        columns = [Output(None, i.alias, f"c{next(_ids)}", v.type) for i, v in zip(items, vals, strict=True)]
+        columns = [Output(None, i.alias, f"c{next(_ids)}", v.type, v.integer) for i, v in zip(items, vals, strict=True)]
         out = [v.col.alias(c.physical) for v, c in zip(vals, columns, strict=True)]
         sorts = []
         for s in q.order:

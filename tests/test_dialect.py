@@ -44,6 +44,14 @@ def test_search(engine):
     assert one(engine, "select v_max |> select v_max search 'x'") == []
 
 
+def test_exact_numbers(engine, spark):
+    """Integers outgrow 64 bits; floating-point columns count as decimals where asked for."""
+    assert one(engine, "select sum(v_max * 10000000000 * 10000000000) as s")[0].s == 141 * 10**20
+    assert one(engine, "select 2000000000 + 2000000000 as a, 3000000000 * 4000000000 * 5 as b limit 1")[0][:] == (4 * 10**9, 6 * 10**19)
+    money = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "m double")
+    assert str(engine.spark and Engine(spark, {"t": money}, exact=True).query("select sum(m) as s, sum(m)::text as t", "t").first().t) == "0.6"
+
+
 def test_stems():
     """Pairs from the stemmer's published vocabulary."""
     known = "consign consign consigned consign consistency consist knightly knight kneeling kneel knives knive generously generous happily happili relational relat hopefulness hope cries cri ties tie running run hoping hope hopping hop sky sky dying die news news proceed proceed sensibility sensibl digitizer digit conditional condit caresses caress gas gas kiwis kiwi luxuriated luxuri argument argument agreement agreement cooked cook communism communism skating skate controlling control".split()
