@@ -3,8 +3,9 @@
 The pieces of an existing subword vocabulary weigh all segmentations of a text: a forward
 recursion in log space over each word's lattice gives its marginal probability, and a document's
 is the product over its words and one end. The vocabulary has merge ranks instead of probabilities, so the pieces'
-weights are counted here: over all training documents, each word's usual segmentation counts as
-often as the word occurs.
+weights are learned here, from all training documents: first each word's usual segmentation counts as
+often as the word occurs, then ``ROUNDS`` of expectation maximisation replace the counts by those expected
+over all segmentations, by forward and backward recursion over each distinct word's lattice.
 
 Words are counted per block of documents first, so that neither a frequent word nor the whole
 vocabulary meets in one task: totals are sums of blocks' counts, each distinct word's lattice is
@@ -28,6 +29,8 @@ from .wordhash import chunks
 
 BLOCK_BYTES = 16 << 20  # of text that one task scores at a time
 SMOOTHING = 0.1  # added to each piece's count
+ROUNDS = 1  # of expectation maximisation
+SHORT = 64  # characters up to which probabilities do not underflow; longer words are computed with logarithms throughout
 _WORDS = 1 << 20  # distinct (block, word) counts that a task holds
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = "▁"
@@ -61,45 +64,98 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Pieces:
-    """A subword vocabulary with weights, as a tree of characters."""
+    """A subword vocabulary with weights, as a tree of characters whose leaves hold (probability, logarithm, number)."""
 
-    def __init__(self, pieces: list[str], logp: list[float], byte_logp: list[float]):
+    def __init__(self, pieces: list[str], logp: list[float], byte_logp: list[float], numbers: list[int] | None = None, byte_numbers: list[int] | None = None):
         self.root: dict = {}
-        for piece, p in zip(pieces, logp, strict=True):
+        for piece, p, i in zip(pieces, logp, numbers or range(len(pieces)), strict=True):
             node = self.root
             for ch in piece:
                 node = node.setdefault(ch, {})
-            node[""] = p
+            node[""] = (math.exp(p), p, i)
         self.byte_logp = byte_logp
+        self.byte_numbers = byte_numbers or [len(pieces) + b for b in range(256)]
 
-    def log_marginal(self, word: str) -> float:
-        """Natural logarithm of the summed probability of all segmentations of a word with its leading mark."""
-        text = _SPACE + word
+    def _edges(self, text: str) -> Iterator[list[tuple[int, tuple[float, float, int | tuple[int, ...]]]]]:
+        """For each character, (end, weights) of the pieces that begin there; one that is no piece of its own stands for its bytes."""
         n = len(text)
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        into[0].append(0.0)
         for i in range(n):
-            came = into[i]
-            if not came:
-                continue
-            if len(came) == 1:
-                here = came[0]
-            else:
-                most = max(came)
-                here = most + math.log(sum([math.exp(x - most) for x in came]))
-            node, j, single = self.root.get(text[i]), i + 1, False
+            out, j, node, single = [], i + 1, self.root.get(text[i]), False
             while node is not None:
                 if "" in node:
-                    into[j].append(here + node[""])
+                    out.append((j, node[""]))
                     single = single or j == i + 1
                 if j == n:
                     break
                 node = node.get(text[j])
                 j += 1
-            if not single:  # a character that is no piece: its bytes
-                into[i + 1].append(here + sum(self.byte_logp[b] for b in text[i].encode("utf-8", "surrogatepass")))
-        most = max(into[n])
-        return most + math.log(sum(math.exp(x - most) for x in into[n]))
+            if not single:
+                own = text[i].encode("utf-8", "surrogatepass")
+                p = sum(self.byte_logp[b] for b in own)
+                out.append((i + 1, (math.exp(p), p, tuple(self.byte_numbers[b] for b in own))))
+            yield out
+
+    def log_marginal(self, word: str) -> float:
+        """Natural logarithm of the summed probability of all segmentations of a word with its leading mark."""
+        text = _SPACE + word
+        if len(text) <= SHORT:
+            into = [1.0] + [0.0] * len(text)
+            for i, edges in enumerate(self._edges(text)):
+                here = into[i]
+                for j, (p, _, _) in edges:
+                    into[j] += here * p
+            if into[-1] > 1e-280:
+                return math.log(into[-1])
+        came: list[list[float]] = [[0.0]] + [[] for _ in text]
+        for i, edges in enumerate(self._edges(text)):
+            here = _log_sum(came[i])
+            came[i] = []
+            for j, (_, p, _) in edges:
+                came[j].append(here + p)
+        return _log_sum(came[-1])
+
+    def expect(self, word: str, times: float, counts: np.ndarray) -> None:
+        """Add how often each piece is expected in ``times`` occurrences of a word."""
+        text = _SPACE + word
+        n, edges = len(text), list(self._edges(text))
+        ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        if n <= SHORT:
+            f, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+            for i, own in enumerate(edges):
+                here = f[i]
+                for j, (p, _, _) in own:
+                    f[j] += here * p
+            if f[n] > 1e-280:
+                scale = times / f[n]
+                for i in range(n - 1, -1, -1):
+                    total, here = 0.0, f[i] * scale
+                    for j, (p, _, number) in edges[i]:
+                        x = p * b[j]
+                        total += x
+                        _add(counts, number, here * x)
+                    b[i] = total
+                return
+        came: list[list[float]] = [[] for _ in range(n + 1)]
+        came[0].append(0.0)
+        for i, own in enumerate(edges):
+            ahead[i] = _log_sum(came[i])
+            for j, (_, p, _) in own:
+                came[j].append(ahead[i] + p)
+        whole = _log_sum(came[n])
+        for i in range(n - 1, -1, -1):
+            back[i] = _log_sum([p + back[j] for j, (_, p, _) in edges[i]])
+            for j, (_, p, number) in edges[i]:
+                _add(counts, number, times * math.exp(ahead[i] + p + back[j] - whole))
+
+
+def _add(counts: np.ndarray, number: int | tuple[int, ...], n: float) -> None:
+    for i in (number,) if type(number) is int else number:
+        counts[i] += n
+
+
+def _log_sum(x: list[float]) -> float:
+    most = max(x)
+    return most + math.log(sum([math.exp(v - most) for v in x]))
 
 
 def _processor(path: str):
@@ -108,7 +164,7 @@ def _processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def fit(vocab: DataFrame, n_documents: int, path: str, smoothing: float = SMOOTHING) -> tuple[Pieces, float]:
+def fit(vocab: DataFrame, n_documents: int, path: str, smoothing: float = SMOOTHING, rounds: int = ROUNDS) -> tuple[Pieces, float]:
     """The weighted vocabulary and the end's natural log probability, from (word, c) of all training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +181,34 @@ def fit(vocab: DataFrame, n_documents: int, path: str, smoothing: float = SMOOTH
     counted = {r[0]: r[1] for r in vocab.where("c > 0").select("word", "c").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n")).collect()}  # the vocabulary at most
     sp = _processor(path)
     ids = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i))]
-    weight = {i: counted.get(i, 0) + smoothing for i in ids}
-    total = math.log(sum(weight.values()) + n_documents + smoothing)
-    logp = {i: math.log(w) - total for i, w in weight.items()}
     whole = [i for i in ids if not sp.is_byte(i)]
-    byte = {int(sp.id_to_piece(i)[1:-1], 16): logp[i] for i in ids if sp.is_byte(i)}
-    return Pieces([sp.id_to_piece(i) for i in whole], [logp[i] for i in whole], [byte[b] for b in range(256)]), math.log(n_documents + smoothing) - total
+    bytes_ = {int(sp.id_to_piece(i)[1:-1], 16): i for i in ids if sp.is_byte(i)}
+
+    def weighted(found: dict[int, float]) -> tuple[Pieces, float]:
+        weight = {i: found.get(i, 0) + smoothing for i in ids}
+        total = math.log(sum(weight.values()) + n_documents + smoothing)
+        logp = {i: math.log(w) - total for i, w in weight.items()}
+        pieces = Pieces([sp.id_to_piece(i) for i in whole], [logp[i] for i in whole], [logp[bytes_[b]] for b in range(256)], whole, [bytes_[b] for b in range(256)])
+        return pieces, math.log(n_documents + smoothing) - total
+
+    def expected(model):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, add = np.zeros(n_pieces), model.value.expect
+            for batch in batches:
+                for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                    add(word, c, counts)
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["piece", "n"])
+
+        return run
+
+    n_pieces, made = sp.vocab_size(), weighted(counted)
+    for _ in range(rounds if counted else 0):
+        shared = vocab.sparkSession.sparkContext.broadcast(made[0])
+        found = vocab.where("c > 0").select("word", "c").mapInArrow(expected(shared), "piece long, n double").groupBy("piece").agg(F.sum("n")).collect()
+        made = weighted({r[0]: r[1] for r in found})
+        shared.destroy()
+    return made
 
 
 def score(docs: DataFrame, path: str, fold: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -265,6 +265,42 @@ def test_lattice_is_the_sum_of_all_segmentations():
     assert math.isclose(pieces.log_marginal("abba"), math.log(total("▁abba")))
 
 
+def test_lattice_expected_counts():
+    """Expected pieces against all segmentations written out, and one round of re-estimation that raises the likelihood."""
+    import math
+
+    def parts(s, weight):
+        return [[]] if not s else [[w, *rest] for w in weight if s.startswith(w) for rest in parts(s[len(w) :], weight)]
+
+    names, raw = ["▁", "▁a", "a", "b", "ab", "▁ab"], (0.2, 0.1, 0.1, 0.2, 0.15, 0.05)
+    words = {"abba": 3.0, "a": 5.0, "bab": 1.0}
+    for far in (False, True):
+        weight, likelihood = dict(zip(names, raw if not far else raw[::-1], strict=True)), []
+        for _ in range(3):
+            pieces = lattice_lm.Pieces(names, [math.log(weight[w]) for w in names], [-9.0] * 256)
+            counts, want = np.zeros(len(names) + 256), dict.fromkeys(names, 0.0)
+            for word, times in words.items():
+                pieces.expect(word, times, counts)
+                ways = [(math.prod(weight[w] for w in way), way) for way in parts("▁" + word, weight)]
+                for p, way in ways:
+                    for w in way:
+                        want[w] += times * p / sum(q for q, _ in ways)
+            assert np.allclose(counts[: len(names)], [want[w] for w in names]) and not counts[len(names) :].any()
+            likelihood.append(sum(times * pieces.log_marginal(word) for word, times in words.items()))
+            weight = {w: want[w] / sum(want.values()) for w in names}
+        assert likelihood == sorted(likelihood)
+    long = lattice_lm.Pieces(names, [math.log(p) for p in raw], [-9.0] * 256)
+    short = np.zeros(len(names) + 256), np.zeros(len(names) + 256)
+    long.expect("ab" * 20, 2.0, short[0])
+    marginal, lattice_lm.SHORT = long.log_marginal("ab" * 20), 0
+    try:
+        long.expect("ab" * 20, 2.0, short[1])
+        assert np.allclose(*short) and math.isclose(marginal, long.log_marginal("ab" * 20))
+        assert math.isfinite(long.log_marginal("abéz" * 5000))
+    finally:
+        lattice_lm.SHORT = 64
+
+
 def test_lattice_base_scores(spark, docs, rows, odd, none):
     got = {r.doc_id: r for r in lattice_lm.op5_lattice_lm(spark, DIR).collect()}
     low = {i: [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(r.text or "")] for i, r in rows.items()}
@@ -627,3 +663,17 @@ def test_url_filter_runs_only_fetched_rules():
     index = url_filter.Index(url_filter.PATTERNS, url_filter.HOST_RULES, counts)
     assert any(r[1] == "net/de/" for r in index.by["de"]) and any(r[1] == "org/es/" for r in index.by["es"])
     assert index.judge("http://plain.info/about")[4] <= 6 < len(url_filter.PATTERNS)
+
+
+def test_scratch_tables_and_sweep(spark, tmp_path):
+    """A kept table reads back, its job's shuffle files go at once, and old runs are swept."""
+    import os
+
+    from pipewright.llm import scratch
+
+    run = scratch.Scratch(spark, "sweep-test")
+    run.root = f"file://{tmp_path}/{scratch.RUNS}/{run.root.rsplit('/', 1)[1]}"
+    kept = run.keep("t", spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert kept.count() == 7 and spark.conf.get(scratch.CLEANUP) == "false"
+    assert scratch.sweep(spark, 1, f"file://{tmp_path}") == 0 and len(os.listdir(tmp_path / scratch.RUNS)) == 1
+    assert scratch.sweep(spark, -1, f"file://{tmp_path}") == 1 and not os.listdir(tmp_path / scratch.RUNS)
