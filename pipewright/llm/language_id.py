@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .split import held_out
 from .scratch import table
-from .wordhash import chunks
+from .wordhash import chunks, row_and_text, with_text
 
 SYMBOLS = 20_000  # labelled symbols per language: the bound on what the automata learn from
 TOTAL = 64 * SYMBOLS  # labelled symbols of all languages: bounds the tables that are broadcast, however many labels there are
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(with_text(batch, "_text"), "_text"):
                 own = [_symbols(t, m.code) for t in pc.fill_null(part.column("_text"), "").to_pylist()]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
                 flat = np.concatenate([*own, np.zeros(0, np.uint8)])
@@ -244,8 +244,7 @@ def language_kept(docs: DataFrame) -> DataFrame:
     Rejected: null texts, texts without letters, and texts that look like random letters to every language.
     """
     model = fit(docs, F.lit(True))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return predict(rows, model, "row").where("known").select("row.*")
+    return predict(row_and_text(docs), model, "_row").where("known").select("_row.*")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch, table
-from .wordhash import buffers, chunks, hashes
+from .wordhash import buffers, chunks, hashes, row_and_text, with_text
 
 # Kinds in order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -334,7 +334,7 @@ def spans_of(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(with_text(batch, "_text"), "_text"):
                 scan = Scan(part.column("_text"))
                 base, every = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
                 hit = g.secrets(scan.data, scan.start, scan.end)
@@ -358,15 +358,15 @@ def spans_of(docs: DataFrame, grammar: Grammar, *keep: str) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """The documents with every secret span replaced by ``mask``, one for overlapping spans; n_chars, if there, follows the text."""
-    found = spans_of(docs.select(F.struct(*docs.columns).alias("row"), "text"), fit(docs), "row")
-    old = F.col("row.text")
+    found = spans_of(row_and_text(docs), fit(docs), "_row")
+    old = F.col("_row.text")
     piece = lambda a, b: F.substring(old, (a + 1).cast("int"), (b - a).cast("int"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit(mask)).alias("out"), s["end"].alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
     cut = F.aggregate("every", start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(old))))
     out = found.withColumn("text", F.when(F.size("every") == 0, old).otherwise(cut))
-    length = lambda c: F.when(F.size("every") == 0, F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema[c].dataType)
-    return out.select(*(F.col("text") if c == "text" else length(c).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns))
+    length = lambda c: F.when(F.size("every") == 0, F.col("_row.n_chars")).otherwise(F.length("text")).cast(docs.schema[c].dataType)
+    return out.select(*(F.col("text") if c == "text" else length(c).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns))
 
 
 def _joined(spans):

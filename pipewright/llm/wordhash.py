@@ -12,6 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -77,6 +80,21 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def row_and_text(docs: DataFrame) -> DataFrame:
+    """Whole rows as ``_row``, whatever their columns are called, and their texts; a text that is a string goes along once, inside the row."""
+    inside = isinstance(docs.schema["text"].dataType, T.StringType)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), (F.lit(None) if inside else F.col("text")).cast("string").alias("text"))
+
+
+def with_text(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    """A batch whose column ``name`` holds the texts: those inside ``_row`` where all are null outside."""
+    if "_row" in batch.schema.names and batch.column(name).null_count == batch.num_rows and pa.types.is_struct(batch.schema.field("_row").type):
+        text = pc.struct_field(batch.column("_row"), "text")
+        if pa.types.is_string(text.type) or pa.types.is_large_string(text.type):
+            return batch.set_column(batch.schema.get_field_index(name), name, text)
+    return batch
+
+
 class Words:
     """Words of the rows of a string column: ``hash`` per word, ``first`` with the rows' word offsets."""
 
