@@ -7,15 +7,15 @@ side of a pipe, equals a fresh view's is answered from the view; of several, the
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
-from ..plans.ast import Item, Pipe, Select, SetOp, Source, Star, With
+from ..plans.ast import Call, Item, Pipe, Ref, Select, SetOp, Source, Star, With
 from ..plans.lexer import QueryError
 from ..plans.parser import parse
-from ..plans.planner import Context, Planner, reads_clock
+from ..plans.planner import Context, Planner, has_aggregate, reads_clock
 from ..sources.catalog import Catalog
 
 
@@ -41,6 +41,16 @@ def tables_of(q, primary: str | None) -> set[str]:
     return set()
 
 
+def with_system(q, columns: list[str]):
+    """A view over one dataset with its system columns kept beside the selected ones; where rows are grouped, the greatest of each."""
+    if not isinstance(q, Select) or q.source is not None or q.joins or q.distinct or q.distinct_on:
+        return q
+    grouped = q.group is not None or any(has_aggregate(i.expr) for i in q.items)
+    named = {i.alias for i in q.items} | {i.expr.name for i in q.items if isinstance(i.expr, Ref)}
+    more = [Item(Call("max", (Ref(c),)) if grouped else Ref(c), c) for c in columns if c not in named]
+    return replace(q, items=(*q.items, *more))
+
+
 @dataclass
 class Views:
     catalog: Catalog
@@ -72,7 +82,8 @@ class Views:
             return False
         path, error = f"{self.catalog.root}/{dataset}/view-{name}-{meta['version']}-{uuid.uuid4().hex[:8]}", None
         try:
-            Planner(Context(self.catalog.spark, self.catalog.table, dataset)).query(parse(view["query"])).result().write.parquet(path)
+            tree = with_system(parse(view["query"]), [c for c in self.catalog.schema(dataset) if c.startswith(":")])
+            Planner(Context(self.catalog.spark, self.catalog.table, dataset)).query(tree).result().write.parquet(path)
         except (QueryError, AnalysisException, KeyError) as x:
             path, error = None, str(x)
         view |= {"path": path, "seen": seen, "error": error}

@@ -78,10 +78,13 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "geo_concave_hull": ("region", "select r_name, concave_hull('MULTIPOINT (0 0, 6 0, 5 4, 1 4, 3 0.5)'::multipoint, 1)::text as a, concave_hull('MULTIPOINT (0 0, 6 0, 5 4, 1 4, 3 0.5)'::multipoint, 0.3)::text as b, concave_hull('POINT (1 1)'::point, 0.5) is null or is_empty(concave_hull('POINT (1 1)'::point, 0.5)) as c", "select r_name, 'MULTIPOLYGON (((0 0, 6 0, 5 4, 1 4, 0 0)))' as a, 'MULTIPOLYGON (((0 0, 3 0.5, 6 0, 5 4, 1 4, 0 0)))' as b, true as c from region"),
     "geo_validity": ("region", "select r_name, make_valid('POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))'::polygon)::text as a, curated_region_test('POLYGON ((0 0, 1 0, 1 1, 0 0))'::polygon, 100) as b, curated_region_test('POLYGON ((0 0, 1 0, 1 1, 0 0))'::polygon, 3) as c, curated_region_test('POLYGON ((0 0, 500 0, 1 1, 0 0))'::polygon, 100) as d, curated_region_test(null::polygon, 100) as e", "select r_name, 'MULTIPOLYGON (((0 0, 0 2, 1 1, 0 0)), ((1 1, 2 2, 2 0, 1 1)))' as a, NULL::VARCHAR as b, 'too complex' as c, 'out of bounds' as d, 'empty' as e from region"),
     "geo_visible": (_N, "select n_nationkey, visible_at(('POLYGON ((0 0, ' || (n_nationkey + 1) || ' 0, 1 1, 0 0))')::polygon, 10) as a, visible_at(point(1, 1), 1000) as b, visible_at(('LINESTRING (0 0, 0 ' || n_nationkey || ')')::line, 5) as c", "select n_nationkey, n_nationkey + 1 >= 10 as a, true as b, n_nationkey >= 5 as c from nation"),
+    "join_geometry": (_N, "select n_nationkey, @r.r_name join (select r_name, ('POLYGON ((' || (r_regionkey * 5) || ' -1, ' || (r_regionkey * 5 + 7.5) || ' -1, ' || (r_regionkey * 5 + 7.5) || ' 30, ' || (r_regionkey * 5) || ' 30, ' || (r_regionkey * 5) || ' -1))')::polygon as g from @region) as r on within_polygon(point(n_nationkey, n_nationkey + 0.25), @r.g) and n_nationkey > 2", "select n_nationkey, r_name from nation join region on n_nationkey + 0.25 > r_regionkey * 5 and n_nationkey + 0.25 < r_regionkey * 5 + 7.5 and n_nationkey > 2"),
+    "join_geometry_areas": (_N, "select n_nationkey, @b.k as other join (select n_nationkey as k, ('LINESTRING (' || n_nationkey || ' 0, ' || (n_nationkey + 2.5) || ' 3)')::line as l from @nation) as b on intersects(@b.l, ('LINESTRING (' || n_nationkey || ' 3, ' || (n_nationkey + 2.5) || ' 0)')::line)", "select a.n_nationkey, b.n_nationkey as other from nation a join nation b on abs(a.n_nationkey - b.n_nationkey) <= 2.5"),
     "geo_aggregates": (_N, "select n_regionkey, extent(point(n_nationkey, n_regionkey))::text as e, spatial_union(point(n_nationkey, n_regionkey))::text as u group by n_regionkey", "select n_regionkey, 'MULTIPOLYGON (((' || x || ' ' || lo || ', ' || x || ' ' || hi || ', ' || x || ' ' || hi || ', ' || x || ' ' || lo || ', ' || x || ' ' || lo || ')))' as e, 'MULTIPOINT (' || u || ')' as u from (select n_regionkey, n_regionkey as x, min(n_nationkey) as lo, max(n_nationkey) as hi, string_agg('(' || n_regionkey || ' ' || n_nationkey || ')', ', ' order by n_nationkey) as u from nation group by n_regionkey)"),
     "geo_aggregate_areas": (_N, "select n_regionkey, spatial_union(('POLYGON ((' || n_nationkey || ' 0, ' || (n_nationkey + 30) || ' 0, ' || (n_nationkey + 30) || ' 1, ' || n_nationkey || ' 1, ' || n_nationkey || ' 0))')::polygon)::text as u, num_points(spatial_union(('LINESTRING (0 ' || n_nationkey || ', 1 ' || n_nationkey || ')')::line)) as n group by n_regionkey", "select n_regionkey, 'MULTIPOLYGON (((' || r || ' 0, ' || array_to_string(list_transform([0, 5, 10, 15, 20, 30, 35, 40, 45, 50], lambda x: (r + x) || ' 1'), ', ') || ', ' || array_to_string(list_transform([50, 45, 40, 35, 30, 20, 15, 10, 5, 0], lambda x: (r + x) || ' 0'), ', ') || ')))' as u, 10 as n from (select n_regionkey, min(n_nationkey) as r from nation group by n_regionkey)"),
     # windows, sets, sources
     "window_empty": (_N, "select n_nationkey, count(*) over () as n, max(n_nationkey) over () as m, (sum(n_regionkey) over ())::text as s", "select n_nationkey, count(*) over () as n, max(n_nationkey) over () as m, (sum(n_regionkey) over ())::VARCHAR as s from nation"),
+    "window_over_groups": (_N, "select n_regionkey, count(*) as c, sum(count(*)) over ()::text as t, max(n_nationkey) over () - min(n_nationkey) as d, avg(count(*)) filter (where n_regionkey > 1) over () as a group by n_regionkey, n_nationkey", "select n_regionkey, count(*) as c, (sum(count(*)) over ())::VARCHAR as t, max(n_nationkey) over () - min(n_nationkey) as d, avg(count(*)) filter (where n_regionkey > 1) over () as a from nation group by n_regionkey, n_nationkey"),
     "window_offsets": (_O, "select o_orderkey, lead(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as a, lag(o_totalprice, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) as b, lag(o_totalprice, 1, o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as c, lead(o_orderstatus, 3, o_orderpriority) over (partition by o_custkey order by o_orderdate, o_orderkey) as d, lag(o_totalprice, 3, -1) over (partition by o_custkey order by o_orderdate, o_orderkey) as e", "select o_orderkey, lead(o_totalprice) over w as a, lag(o_totalprice, 2) over w as b, lag(o_totalprice, 1, o_orderkey) over w as c, lead(o_orderstatus, 3, o_orderpriority) over w as d, lag(o_totalprice, 3, -1) over w as e from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)"),
     "window_distinct": (_O, "select o_orderkey, count(distinct o_orderstatus) over (partition by o_custkey) as n, median_disc(o_totalprice) over (partition by o_custkey) as m", "select o_orderkey, n, m from orders join (select o_custkey, count(distinct o_orderstatus) as n, quantile_disc(o_totalprice, 0.5) as m from orders group by o_custkey) using (o_custkey)"),
     "set_intersect_all": (_C, "select c_nationkey as k intersect all select s_nationkey as k from @supplier", "select c_nationkey as k from customer intersect all select s_nationkey from supplier"),

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import aggregate as A
+from ..functions import geometry as G
 from ..functions import scalar as S
 from ..functions import search
 from ..functions.obfuscate import clear, obfuscated
@@ -74,6 +75,7 @@ class Context:
     variables: dict[str, str] = field(default_factory=dict)
     now: datetime.datetime = field(default_factory=lambda: datetime.datetime.now(datetime.timezone.utc).replace(microsecond=0))
     case_sensitive: bool = True
+    held: list[DataFrame] = field(default_factory=list)  # persisted for hints
     exact: bool = False  # floating-point columns of tables count as decimals
     obfuscation_key: bytes | None = None  # without one, row ids and versions read row-<n> and rv-<n>
 
@@ -86,6 +88,7 @@ class Env:
         self.keys: dict[object, Val] | None = None  # group keys, if grouped
         self.aggregates: dict[object, tuple[str, Val]] = {}
         self.busy: set[str] = set()
+        self.ready: dict[object, Val] = {}  # windows that are there as columns
 
     def find(self, ref: Ref) -> Val | None:
         hits = [c for c in self.columns if c.name == ref.name and (ref.table is None or c.table == ref.table)]
@@ -114,6 +117,8 @@ class Env:
     def eval(self, e) -> Val:
         if self.keys is not None and e in self.keys:
             return self.keys[e]
+        if e in self.ready:
+            return self.ready[e]
         match e:
             case Lit(value):
                 return literal(value)
@@ -242,6 +247,51 @@ def has_aggregate(e) -> bool:
     return False
 
 
+BOXED = ("within_polygon", "intersects", "crosses", "overlaps")  # of two geometries whose boxes meet
+
+
+def refs(e) -> list[Ref]:
+    """The columns that an expression names."""
+    match e:
+        case Ref():
+            return [e]
+        case Call(_, args):
+            return [r for a in args for r in refs(a)]
+        case Cast(x, _) | Field(x, _):
+            return refs(x)
+    return []
+
+
+def cells_joined(left: DataFrame, right: DataFrame, a: Column, b: Column, on: Column) -> DataFrame:
+    """An inner join on geometries as an equi-join over the one-degree cells of their boxes.
+
+    A pair is taken in one cell only, that of the lower left corner that its boxes share; coordinates far outside the globe
+    count as its rim.
+    """
+    cell = lambda c: F.floor(F.least(F.greatest(c, F.lit(-361.0)), F.lit(361.0)))
+    names, sides = [f"g{next(_ids)}" for _ in range(6)], []
+    for df, g, (box, x, y) in ((left, a, names[:3]), (right, b, names[3:])):
+        df = df.withColumn(box, G.box_(g)).filter(F.col(box).isNotNull())
+        for n, low, high in ((x, 0, 2), (y, 1, 3)):
+            df = df.withColumn(n, F.explode(F.sequence(cell(F.col(box)[low]), cell(F.col(box)[high]))))
+        sides.append(df)
+    p, px, py, q, qx, qy = map(F.col, names)
+    corner = (px == F.greatest(cell(p[0]), cell(q[0]))) & (py == F.greatest(cell(p[1]), cell(q[1])))
+    return sides[0].join(sides[1], (px == qx) & (py == qy) & corner).filter(on).drop(*names)
+
+
+def whole_windows(e) -> set[Call]:
+    """The aggregates over all rows in an expression."""
+    match e:
+        case Call(name, args, _, _, over):
+            if over is not None and over == Over() and name in A.NAMES:
+                return {e}
+            return {c for a in args for c in whole_windows(a)}
+        case Cast(x, _) | Field(x, _):
+            return whole_windows(x)
+    return set()
+
+
 def searchable(columns: list[tuple[Val, str]], query: str) -> Column:
     """Text and URL columns together hold all terms, or a number column equals the query."""
     texts = [v.col if v.type == "text" else c for v, _ in columns if v.type in ("text", "url") for c in ([v.col] if v.type == "text" else [v.col["url"], v.col["description"]])]
@@ -269,6 +319,7 @@ class Planner:
                 made = self.query(left, current, outer)
                 if isinstance(left, Select) and left.materialized:
                     made = Relation(made.df.persist(), made.columns)
+                    self.ctx.held.append(made.df)
                 return self.select(right, made.named(None), outer)
             case SetOp(kind, left, right):
                 return self.set_op(kind, self.query(left, current, outer), self.query(right, current, outer))
@@ -346,8 +397,22 @@ class Planner:
             df = df.filter(searchable([(Val(F.col(c.physical), c.type), c.name) for c in rel.columns], q.search))
         exprs = [i.expr for i in items] + [s.expr for s in q.order] + ([q.having] if q.having is not None else [])
         if q.group is not None or any(has_aggregate(aliases.get(e.name, e) if isinstance(e, Ref) else e) for e in exprs):
-            return self.finish(q, items, *self.grouped(q, df, env, items), grouped=True)
-        return self.finish(q, items, df, env)
+            df, env = self.grouped(q, df, env, items)
+        return self.finish(q, items, self.totals(df, env, exprs), env)
+
+    @staticmethod
+    def totals(df: DataFrame, env: Env, exprs: list) -> DataFrame:
+        """``df`` with the aggregates over all rows as columns: one row, joined to every row, instead of a window in one task."""
+        found = {c for e in exprs for c in whole_windows(env.aliases.get(e.name, e) if isinstance(e, Ref) and env.find(e) is None else e)}
+        made = {}
+        for c in sorted(found, key=repr):
+            star = bool(c.args) and isinstance(c.args[0], Star)
+            where = env.eval(c.where).col if c.where is not None else None
+            made[c] = f"t{next(_ids)}", A.aggregate(c.name, [] if star else [env.eval(a) for a in c.args], star, c.distinct, where)
+        if not made:
+            return df
+        env.ready |= {c: Val(F.col(n), v.type, integer=v.integer) for c, (n, v) in made.items()}
+        return df.crossJoin(F.broadcast(df.select(*(v.col.alias(n) for n, v in made.values()))))
 
     def join(self, left: Relation, j, current: Relation | None, outer: Env | None) -> Relation:
         right = self.source(j.source, current, Env(self.ctx, left.columns) if j.lateral else None)
@@ -357,10 +422,27 @@ class Planner:
             made = left.df.lateralJoin(right.df, on.col, "inner" if j.kind == "inner" else "left")
         elif on.literal and on.lit is True and j.kind == "inner":
             made = left.df.crossJoin(right.df)
+        elif j.kind == "inner" and (ends := self.spatial_ends(j.on, left, right)) is not None:
+            made = cells_joined(left.df, right.df, *ends, on.col)
         else:
             made = left.df.join(right.df, on.col, j.kind)
         return Relation(made, both)
 
+    def spatial_ends(self, on, left: Relation, right: Relation) -> tuple[Column, Column] | None:
+        """The two geometries of a condition on one of either side, which holds only where their boxes meet."""
+        if isinstance(on, Call) and on.name == "#and":
+            return next(filter(None, (self.spatial_ends(a, left, right) for a in on.args)), None)
+        if not isinstance(on, Call) or on.name not in BOXED or on.over is not None:
+            return None
+        sides = []
+        for arg in on.args:
+            hits = [[Env(self.ctx, r.columns).find(ref) is not None for r in (left, right)] for ref in refs(arg)]
+            sides.append(0 if hits and all(h == [True, False] for h in hits) else 1 if hits and all(h == [False, True] for h in hits) else None)
+        if sorted(map(str, sides)) != ["0", "1"]:
+            return None
+        both = Env(self.ctx, left.columns + right.columns)
+        return tuple(S._geo(both.eval(on.args[sides.index(k)])).col for k in (0, 1))
+
     def expand(self, q: Select, rel: Relation) -> list[Item]:
         out, seen = [], set()
         for i in q.items:
@@ -407,7 +489,7 @@ class Planner:
             df = df.filter(need(env.eval(q.having), "boolean").col)
         return df, env
 
-    def finish(self, q: Select, items: list[Item], df: DataFrame, env: Env, grouped: bool = False) -> Relation:
+    def finish(self, q: Select, items: list[Item], df: DataFrame, env: Env) -> Relation:
         vals = [env.eval(i.expr) for i in items]
         columns = [Output(None, i.alias, f"c{next(_ids)}", v.type, v.integer) for i, v in zip(items, vals, strict=True)]
         out = [v.col.alias(c.physical) for v, c in zip(vals, columns, strict=True)]
@@ -463,6 +545,34 @@ def uncounted(q):
     return q
 
 
+def most_rows(q, given: int | None = None) -> int | None:
+    """How many rows a query gives at most, as far as its limits and set operations show; ``given`` for its input."""
+    least = lambda *n: min((x for x in n if x is not None), default=None)
+    match q:
+        case Pipe(left, right):
+            return most_rows(right, most_rows(left, given))
+        case With(_, body):
+            return most_rows(body, given)
+        case Values(rows):
+            return len(rows)
+        case SetOp(kind, left, right):
+            a, b = most_rows(left, given), most_rows(right, given)
+            if kind.startswith("union"):
+                return None if a is None or b is None else a + b
+            return least(a, b) if kind.startswith("intersect") else a
+        case Select():
+            source = q.source
+            rows = given if source is None else 1 if source.of == "single_row" else given if source.of == "this" else None if isinstance(source.of, str) else most_rows(source.of, given)
+            if q.joins:
+                rows = None
+            if q.group is None and any(has_aggregate(i.expr) for i in q.items):
+                rows = 1
+            if rows is not None and q.offset:
+                rows = max(0, rows - q.offset)
+            return least(rows, q.limit)
+    return None
+
+
 def reads_clock(e) -> bool:
     """Whether a syntax tree reads the time of the query."""
     if isinstance(e, Call) and e.name == "get_utc_date":
@@ -472,6 +582,9 @@ def reads_clock(e) -> bool:
     return hasattr(e, "__dataclass_fields__") and any(reads_clock(getattr(e, f)) for f in e.__dataclass_fields__)
 
 
+HELD = 16  # persisted results of hints that an engine keeps
+
+
 class Engine:
     """Runs query texts over named tables."""
 
@@ -485,11 +598,19 @@ class Engine:
                 raise QueryError(f"no such table: {name}") from None
 
         self.spark, self.tables, self.options = spark, table, options
+        self.held: list[DataFrame] = []
 
     def plan(self, text: str, primary: str | None = None, **options) -> Relation:
-        ctx = Context(self.spark, self.tables, primary, **(self.options | options))
+        ctx = Context(self.spark, self.tables, primary, held=self.held, **(self.options | options))
+        while len(self.held) > HELD:  # what goes is computed anew if it is read again
+            self.held.pop(0).unpersist()
         return Planner(ctx).query(parse(text))
 
+    def release(self) -> None:
+        """Let go of what materialised hints persisted."""
+        while self.held:
+            self.held.pop().unpersist()
+
     def query(self, text: str, primary: str | None = None, **options) -> DataFrame:
         return self.plan(text, primary, **options).result()
 
@@ -498,6 +619,10 @@ class Engine:
         ctx = Context(self.spark, self.tables, primary, **(self.options | options))
         return Planner(ctx).query(uncounted(parse(text))).df.count()
 
+    def most_rows(self, text: str) -> int | None:
+        """How many rows a query gives at most, as far as its text shows."""
+        return most_rows(parse(text))
+
     def fingerprint(self, text: str, primary: str | None = None, versions: dict[str, int] | None = None, **options) -> str:
         """A hash that is equal for queries with equal results: of the syntax tree, output columns, options and data versions.
 
@@ -543,7 +668,7 @@ class Engine:
 
     def of_tree(self, tree, primary: str | None = None, **options) -> DataFrame:
         """The result of a syntax tree."""
-        return Planner(Context(self.spark, self.tables, primary, **(self.options | options))).query(tree).result()
+        return Planner(Context(self.spark, self.tables, primary, held=self.held, **(self.options | options))).query(tree).result()
 
     def explain(self, text: str, primary: str | None = None, mode: str = "formatted") -> str:
         plan = self.query(text, primary)._jdf.queryExecution()

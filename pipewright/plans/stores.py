@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..http import application
 from ..operators.views import Views
 from ..service import Request, Service
 from ..session import configure
@@ -30,7 +32,6 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pipewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
@@ -124,8 +125,16 @@ def catalog_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     except VersionGap:
         gap = True
     catalog.resync("other", 1, _nations(spark, sf_dir))
+    Views(catalog).create("nations", "of_other", "select count(*) as n from @other")
     catalog.drop("other")
-    facts = {"indexes": ",".join(meta["indexes"]), "directives": str(meta["index_directives"]["name"]), "modified": meta["last_modified"], "id": meta["row_identifier"], "version": str(catalog.version("nations")), "copy": str(catalog.copy("nations")["number"]), "gap": str(gap), "exists": f"{catalog.exists('nations')},{catalog.exists('other')}", "bytes": str(catalog.metric("nations") > 0)}
+    catalog.apply("nations", 4, [("working_copy_created", SCHEMA)])
+    catalog.drop_copy("nations", 2)
+    try:
+        catalog.drop_copy("nations", 1)
+        last = "dropped"
+    except QueryError:
+        last = "kept"
+    facts = {"indexes": ",".join(meta["indexes"]), "directives": str(meta["index_directives"]["name"]), "modified": meta["last_modified"], "id": meta["row_identifier"], "version": str(catalog.version("nations")), "copy": str(catalog.copy("nations")["number"]), "gap": str(gap), "views": str(catalog.meta("nations")["views"]), "last copy": last, "exists": f"{catalog.exists('nations')},{catalog.exists('other')}", "bytes": str(catalog.metric("nations") > 0)}
     return spark.createDataFrame(sorted(facts.items()), "fact string, value string")
 
 
@@ -140,7 +149,7 @@ def view_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = not views.refresh("nations", "totals")
     catalog.apply("nations", 3, [("rows_changed", None, rows.where("`:id` < 7").select(ID))])
     built = views.refresh_for("nations")
-    return Engine(spark, catalog.table).query("select region, n, first from @nations.totals").withColumn("state", F.lit(f"{kept},{len(built)},{','.join(catalog.views('nations'))}"))
+    return Engine(spark, catalog.table).query("select region, n, first, :id as top from @nations.totals").withColumn("state", F.lit(f"{kept},{len(built)},{','.join(catalog.views('nations'))}"))
 
 
 def view_substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +162,9 @@ def view_substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog.table("nations.totals").withColumn("first", F.concat(F.lit("view "), "first")).write.parquet(path)
     meta["views"]["totals"]["path"] = path
     catalog._save("nations", meta)
+    whole = views.query(_TOTALS, "nations").columns
+    if whole != ["region", "n", "first"]:
+        raise ValueError(f"system columns in the result: {whole}")
     used = views.query(_TOTALS + " |> select region, first where n > 2", "nations")
     other = views.query("select region, max(name) as first group by region", "nations")
     named = views.query("select region, first where region = 4", "nations", view="totals")
@@ -306,6 +318,38 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "name string, facts string")
 
 
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most rows that a query's text shows."""
+    engine = Engine(configure(spark), {})
+    texts = ("select a", "select a limit 5", "select a limit 5 |> select b limit 9", "select a limit 9 offset 2 |> select b offset 4", "select a limit 5 union all select b limit 3", "select a limit 5 union select b", "select a limit 5 intersect select b limit 3", "select a limit 5 minus select b", "select count(*)", "select count(*) group by a", "select 1 from @single_row", "values (1), (2)", "select a from @this as t limit 4", "select a limit 3 |> select a join @b as b on true")
+    return spark.createDataFrame([(t, engine.most_rows(t)) for t in texts], "text string, most long")
+
+
+def http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service through WSGI: statuses, headers and bodies of its paths."""
+    app = application(Service(_catalog(spark, sf_dir)))
+
+    def ask(path: str, query: str = "", body: str | None = None, **headers) -> tuple[str, dict, bytes]:
+        seen = {}
+        environ = {"PATH_INFO": path, "QUERY_STRING": query, "REQUEST_METHOD": "GET" if body is None else "POST", "wsgi.input": io.BytesIO((body or "").encode()), "CONTENT_LENGTH": str(len(body or ""))} | headers
+        data = b"".join(app(environ, lambda status, h: seen.update(status=status, headers=dict(h))))
+        return seen["status"], seen["headers"], data
+
+    out = []
+    note = lambda name, *facts: out.append((name, ",".join(map(str, facts))))
+    status, headers, data = ask("/query", "dataset=nations&query=select+name+where+region+%3D+2+order+by+name&rowCount=approximate")
+    note("query", status, data.decode().count("\n"), headers["Content-Type"])
+    note("unchanged", ask("/query", "dataset=nations&query=select+name+where+region+%3D+2+order+by+name&rowCount=approximate", HTTP_IF_NONE_MATCH=headers["ETag"])[0])
+    status, headers, data = ask("/new-query", body="dataset=nations&query=select+name+where+name+%3D+get_context('n')&context.n=NATION_3")
+    note("new query", status, headers["Content-Encoding"], gzip.decompress(data).decode().splitlines()[1])
+    note("bad", ask("/query", "dataset=nations&query=select+x")[0])
+    note("missing", ask("/query", "dataset=none&query=select+x")[0], ask("/elsewhere")[0])
+    note("lookups", *(ask(p, "dataset=nations")[2].decode().strip() for p in ("/exists", "/version", "/rollups")))
+    note("schema", ask("/schema", "dataset=nations")[2].decode().strip())
+    note("info", '"columns": [{"type": "text", "name": "name"}]' in ask("/info", body="dataset=nations&query=select+name")[2].decode())
+    return spark.createDataFrame(out, "name string, facts string")
+
+
 _KEYS = "n_nationkey::BIGINT AS id, n_name AS name, n_regionkey AS region"
 #: name -> (function, SQL)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -316,8 +360,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "rows_compacted": (rows_compacted, "SELECT n_nationkey::BIGINT AS id, n_name AS name, CASE WHEN n_nationkey < 5 THEN 100 + n_nationkey ELSE n_regionkey END AS region, 0 AS deltas FROM nation WHERE n_nationkey NOT BETWEEN 10 AND 14"),
     "rows_truncated": (rows_truncated, f"SELECT {_KEYS} FROM nation WHERE n_regionkey = 2"),
     "resynced": (resynced, f"SELECT {_KEYS}, 41 AS version FROM nation WHERE n_nationkey % 2 = 0"),
-    "catalog_state": (catalog_state, "SELECT * FROM (VALUES ('indexes', 'by_name'), ('directives', 'search'), ('modified', '2024-02-29'), ('id', ':id'), ('version', '2'), ('copy', '1'), ('gap', 'True'), ('exists', 'True,False'), ('bytes', 'True')) t(fact, value)"),
-    "view_scan": (view_scan, "SELECT n_regionkey AS region, count(*) AS n, min(n_name) AS first, 'True,1,totals' AS state FROM nation WHERE n_nationkey >= 7 GROUP BY n_regionkey"),
+    "catalog_state": (catalog_state, "SELECT * FROM (VALUES ('indexes', 'by_name'), ('directives', 'search'), ('modified', '2024-02-29'), ('id', ':id'), ('version', '4'), ('copy', '1'), ('views', '{}'), ('last copy', 'kept'), ('gap', 'True'), ('exists', 'True,False'), ('bytes', 'True')) t(fact, value)"),
+    "view_scan": (view_scan, "SELECT n_regionkey AS region, count(*) AS n, min(n_name) AS first, max(n_nationkey)::BIGINT AS top, 'True,1,totals' AS state FROM nation WHERE n_nationkey >= 7 GROUP BY n_regionkey"),
     "view_substituted": (view_substituted, "SELECT n_regionkey AS region, 'view ' || min(n_name) AS first FROM nation GROUP BY n_regionkey HAVING count(*) > 2 UNION ALL SELECT n_regionkey, max(n_name) FROM nation GROUP BY n_regionkey UNION ALL SELECT n_regionkey, 'view ' || min(n_name) FROM nation WHERE n_regionkey = 4 GROUP BY n_regionkey"),
     "view_cascade": (view_cascade, "SELECT r_name AS title, count(*) AS n, '2,sizes' AS state FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 0 OR n_nationkey <= 5 GROUP BY r_name"),
     "view_policy": (view_policy, "SELECT * FROM (VALUES ('before', 'forced'), ('after', 'forced,waits'), ('clock', 'forbidden'), ('dropped', 'waits')) t(fact, value)"),
@@ -331,5 +375,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "row_counts": (row_counts, "SELECT 'limited' AS name, count(*) AS n FROM orders UNION ALL SELECT 'grouped', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'union', count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer) UNION ALL SELECT 'piped', 7"),
     "refused": (refused, "SELECT * FROM (VALUES ('select nothing', 'refused'), ('select coalesce(n_name, n_nationkey)', 'refused'), ('select n_name group by n_regionkey', 'refused'), ('select n_name union select r_name, r_regionkey from @region', 'refused'), ('select n_name union select r_regionkey from @region', 'refused'), ('select nofunction(n_name)', 'refused'), ('select n_name where n_name', 'refused'), ('select n_name', 'accepted')) t(text, fate)"),
     "explained": (explained, "SELECT * FROM (VALUES ('scan', true), ('pushed', true), ('columns', true)) t(part, there)"),
+    "limits": (limits, "SELECT text, most::BIGINT AS most FROM (VALUES ('select a', NULL), ('select a limit 5', 5), ('select a limit 5 |> select b limit 9', 5), ('select a limit 9 offset 2 |> select b offset 4', 5), ('select a limit 5 union all select b limit 3', 8), ('select a limit 5 union select b', NULL), ('select a limit 5 intersect select b limit 3', 3), ('select a limit 5 minus select b', 5), ('select count(*)', 1), ('select count(*) group by a', NULL), ('select 1 from @single_row', 1), ('values (1), (2)', 2), ('select a from @this as t limit 4', 4), ('select a limit 3 |> select a join @b as b on true', NULL)) t(text, most)"),
+    "http": (http, """SELECT * FROM (VALUES ('query', '200 OK,7,application/json'), ('unchanged', '304 Not Modified'), ('new query', '200 OK,gzip,,["NATION_3"]'), ('bad', '400 Bad Request'), ('missing', '404 Not Found,404 Not Found'), ('lookups', 'true,1,[]'), ('schema', '[{"type": "row_identifier", "name": ":id"}, {"type": "text", "name": "name"}, {"type": "number", "name": "region"}]'), ('info', 'True')) t(name, facts)"""),
     "served": (served, """SELECT * FROM (VALUES ('first', '200,5,True'), ('too many', '429'), ('cached', '200,true,True'), ('unchanged', '304'), ('other context', '200'), ('bad', '400'), ('missing', '404'), ('view', 'true,5'), ('named view', '5'), ('numbered copy', '25'), ('lookups', 'True,2,[''totals''],3,[{''type'': ''text'', ''name'': ''name''}]')) t(name, facts)"""),
 }

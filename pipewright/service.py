@@ -130,6 +130,7 @@ class Service:
             if size <= self.entry_bytes:
                 self._remember(tag, held)
         finally:
+            engine.release()
             self._leave(r.dataset)
 
     def info(self, r: Request) -> dict:

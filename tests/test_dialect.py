@@ -156,6 +156,35 @@ def test_cjson(engine):
     assert lines[1:] == [',["APCO", 45]', "]"] and '"approximate_row_count": 4' in lines[0]
 
 
+def test_catalog_writers_and_leftovers(spark, tmp_path):
+    """Of two writers one fails, an unfinished document changes nothing, and what is no longer named goes."""
+    import os
+
+    configure(spark)
+    catalog = Catalog(spark, f"file://{tmp_path}", deltas=1)
+    rows = lambda *r: spark.createDataFrame(r, "`:id` long, make string")
+    catalog.apply("wings", 1, [("working_copy_created", "`:id` long, make string"), ("rows_changed", rows((1, "A")), None), ("working_copy_published",)])
+    stale = catalog.meta("wings")
+    catalog.apply("wings", 2, [("rows_changed", rows((2, "B")), None)])
+    with pytest.raises(VersionGap):
+        catalog._save("wings", stale)
+    (tmp_path / "wings" / "meta" / "half.new").write_text('{"version": 7')
+    assert catalog.version("wings") == 2 and len(catalog.copy("wings")["deltas"]) == 1
+    for i in range(3, 9):
+        catalog.apply("wings", i, [("rows_changed", rows((i, "C")), rows((1, "")) if i == 5 else None)])
+    assert sorted(r[0] for r in catalog.read("wings").select(":id").collect()) == [2, 3, 4, 5, 6, 7, 8]
+    left = os.listdir(tmp_path / "wings")
+    assert len([x for x in left if x.startswith(("copy", "changes"))]) <= 4 and len([x for x in os.listdir(tmp_path / "wings" / "meta") if x.endswith(".json")]) == 2
+
+
+def test_materialised_hints_are_let_go(engine):
+    engine.query("select hint(materialized) make, v_max |> select make", "wings")
+    assert len(engine.held) == 1 and engine.held[0].is_cached
+    kept = engine.held[0]
+    engine.release()
+    assert not engine.held and not kept.is_cached
+
+
 def test_change_sets_and_views(spark, tmp_path):
     configure(spark)
     catalog = Catalog(spark, f"file://{tmp_path}")
