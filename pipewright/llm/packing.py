@@ -222,6 +222,8 @@ def evolve(population: list[Individual], sizes: list[int], capacity: int, chance
     """The elite after ``generations`` crossovers; the population is filled up at random. Stops early at the lower bound."""
     least = -(-sum(sizes) // capacity)
     rank = lambda x: -fitness(x, capacity)
+    if population and len(min(population, key=rank)[0]) <= least:
+        return min(population, key=rank)
     own = population + [random_individual(sizes, capacity, chance) for _ in range(size - len(population))]
     own.sort(key=rank)
     for _ in range(generations):
