@@ -236,7 +236,10 @@ def evolve(population: list[Individual], sizes: list[int], capacity: int, chance
 
 
 _PIECE = ("doc_id long", "piece int", "start long", "length long", "ids_crc32 long")
-_STATE = ", ".join((*_PIECE, "pid long", "region long", "island int", "bin int", "offset long", "room long", "fit double"))
+_STATE = ", ".join((*_PIECE, "pid long", "region long", "island int", "bin int", "offset long", "room long", "fit double", "solved boolean"))
+
+
+_NONE = pa.table([pa.array([], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]]) for c in _STATE.split(", ")], names=[c.split()[0] for c in _STATE.split(", ")])
 
 
 def _island(capacity: int, level: int, epoch: int, generations: int, size: int):
@@ -246,6 +249,8 @@ def _island(capacity: int, level: int, epoch: int, generations: int, size: int):
         region, island = (k.as_py() for k in key)
         guest = group.column("guest")
         own = group.filter(pc.invert(guest)).sort_by("pid")
+        if not own.num_rows:  # this island was done before
+            return _NONE
         sizes, population = own.column("length").to_pylist(), []
         for some in (own, group.filter(guest).sort_by("pid")):
             if some.num_rows and not some.column("bin").null_count:
@@ -261,9 +266,9 @@ def _island(capacity: int, level: int, epoch: int, generations: int, size: int):
             for i in items:
                 place[i], offset[i], room[i] = k, at, left
                 at += sizes[i]
-        fit = np.full(len(sizes), fitness(best, capacity))
+        fit, solved = np.full(len(sizes), fitness(best, capacity)), np.full(len(sizes), len(best[0]) <= -(-sum(sizes) // capacity))
         columns = [own.column(c.split()[0]) for c in (*_PIECE, "pid", "region", "island")]
-        return pa.table([*columns, pa.array(place), pa.array(offset), pa.array(room), pa.array(fit)], names=[c.split()[0] for c in _STATE.split(", ")])
+        return pa.table([*columns, pa.array(place), pa.array(offset), pa.array(room), pa.array(fit), pa.array(solved)], names=[c.split()[0] for c in _STATE.split(", ")])
 
     return run
 
@@ -280,12 +285,12 @@ def pack(found: DataFrame, scratch: Scratch, length: int = LENGTH, region: int =
         state = rest.withColumn("pid", own).withColumn("region", F.pmod(F.xxhash64("pid"), F.lit(regions)).cast("long"))
         state = state.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).withColumn("bin", F.lit(None).cast("int"))
         for epoch in range(epochs):
-            state = state.withColumn("guest", F.lit(False))
+            own = state.where("not solved") if epoch else state  # at the lower bound there is nothing to gain
+            own = own.withColumn("guest", F.lit(False))
             if epoch:  # migration: each island's elite to the next
-                rows = state.withColumn("island", (F.col("island") + 1) % islands).withColumn("guest", F.lit(True))
-                state = state.union(rows)
-            run = _island(length, level, epoch, generations, size)
-            state = scratch.keep(f"level-{level}-{epoch}", state.groupBy("region", "island").applyInArrow(run, _STATE))
+                own = own.union(state.withColumn("island", (F.col("island") + 1) % islands).withColumn("guest", F.lit(True)))
+            bred = own.groupBy("region", "island").applyInArrow(_island(length, level, epoch, generations, size), _STATE)
+            state = scratch.keep(f"level-{level}-{epoch}", state.where("solved").union(bred) if epoch else bred)
         best = state.groupBy("region").agg(F.max(F.struct("fit", "island")).alias("best")).select("region", F.col("best.island").alias("island"))
         packed = state.join(best, ["region", "island"])
         packed = packed.select(*(c.split()[0] for c in _PIECE), (F.lit(level << 56) + F.shiftleft("region", 16) + F.col("bin")).alias("sequence_id"), "offset", (F.col("room") <= (1 - FULL) * length).alias("final"))
