@@ -28,6 +28,7 @@ from .split import held_out
 from .wordhash import chunks
 
 BLOCK_BYTES = 16 << 20  # of text that one task scores at a time
+PARTS = 2  # of the distinct words, for each block
 SMOOTHING = 0.1  # added to each piece's count
 ROUNDS = 1  # of expectation maximisation
 SHORT = 64  # characters up to which probabilities do not underflow; longer words are computed with logarithms throughout
@@ -225,7 +226,8 @@ def score(docs: DataFrame, path: str, fold: int = 1, block_bytes: int = BLOCK_BY
     blocks = max(1, -(-(size or 0) // block_bytes))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     words = scratch.keep("words", rows.repartition(blocks, "block").mapInArrow(_counts, "block long, word string, n long"))
-    vocab = scratch.keep("vocab", words.groupBy("word").agg(F.sum("n").alias("c")))
+    # as many parts as there are CPU seconds in their lattices, not as bytes would make them
+    vocab = scratch.keep("vocab", words.repartition(PARTS * blocks, "word").groupBy("word").agg(F.sum("n").alias("c")))
     n_words, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     tokens, kinds = n_words + n_train, distinct + (1 if n_train else 0)
     pieces, end = fit(vocab, n_train, path)
@@ -239,7 +241,7 @@ def score(docs: DataFrame, path: str, fold: int = 1, block_bytes: int = BLOCK_BY
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p, pa.float64())], names=["word", "c", "p"])
 
     scored = vocab.mapInArrow(marginal, "word string, c long, p double")
-    local = scratch.keep("local", words.select("block", "word").distinct().join(scored, "word").select("block", "word", "c", "p"))
+    local = scratch.keep("local", words.select("block", "word").join(scored, "word").select("block", "word", "c", "p"))  # a block may name a word twice
     end_base = math.log10(n_train + 0.5) - scale
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
