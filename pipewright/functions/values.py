@@ -87,18 +87,31 @@ def interval(months, days, micros) -> Column:
     return F.struct(as_(months, "int").alias("months"), as_(days, "int").alias("days"), as_(micros, "long").alias("micros"))
 
 
+def let(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a column that is computed once, however often ``fn`` names it."""
+    return F.transform(F.array(c), fn)[0]
+
+
 def interval_column(text: Column) -> Column:
     """The interval of a column of ISO-8601 periods, without Python."""
-    bad = ~text.rlike(r"^[+-]?P(?=.)([+-]?\d+Y)?([+-]?\d+M)?([+-]?\d+W)?([+-]?\d+D)?(T(?=.)([+-]?\d+H)?([+-]?\d+M)?([+-]?\d+(\.\d+)?S)?)?$")
-    date, time = F.split_part(text, F.lit("T"), F.lit(1)), F.split_part(text, F.lit("T"), F.lit(2))
-    part = lambda where, unit: F.coalesce(F.nullif(F.regexp_extract(where, rf"([+-]?\d+(?:\.\d+)?){unit}", 1), F.lit("")).cast("decimal(20,6)"), F.lit(0))
-    sign = F.when(text.startswith("-"), -1).otherwise(1)
-    made = interval(sign * (part(date, "Y") * 12 + part(date, "M")), sign * (part(date, "W") * 7 + part(date, "D")), sign * ((part(time, "H") * 3600 + part(time, "M") * 60 + part(time, "S")) * 1_000_000))
-    return F.when(text.isNotNull() & bad, F.raise_error(F.concat(F.lit("bad interval "), text))).when(text.isNotNull(), made)
+    n = r"([+-]?\d+)"
+    form = rf"^([+-]?)P(?=.)(?:{n}Y)?(?:{n}M)?(?:{n}W)?(?:{n}D)?(?:T(?=.)(?:{n}H)?(?:{n}M)?(?:([+-]?\d+(?:\.\d+)?)S)?)?$"
+
+    def made(t: Column) -> Column:
+        part = lambda k: F.coalesce(F.nullif(F.regexp_extract(t, form, k), F.lit("")).cast("decimal(20,6)"), F.lit(0))
+        sign = F.when(t.startswith("-"), -1).otherwise(1)
+        out = interval(sign * (part(2) * 12 + part(3)), sign * (part(4) * 7 + part(5)), sign * ((part(6) * 3600 + part(7) * 60 + part(8)) * 1_000_000))
+        return F.when(t.isNotNull() & ~t.rlike(form), F.raise_error(F.concat(F.lit("bad interval "), t))).when(t.isNotNull(), out)
+
+    return let(text, made)
 
 
 def interval_text(i: Column) -> Column:
     """ISO-8601 text of an interval."""
+    return let(i, _interval_text)
+
+
+def _interval_text(i: Column) -> Column:
     unit = lambda n, u: F.when(n != 0, F.concat(n.cast("string"), F.lit(u))).otherwise("")
     # whole units keep the sign of the part they come from
     div = lambda a, b: F.signum(a).cast("long") * F.floor(F.abs(a) / F.lit(b))
